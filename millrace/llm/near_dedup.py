@@ -163,7 +163,7 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFrame
     A bitmap of fixed size says which documents may be a chosen one; only their sets are made and moved.
     """
     spark = docs.sparkSession
-    words = nodes.groupBy(F.shiftright("thin", 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col("thin"), F.lit(64)).cast("int"))).alias("bits"))
+    words = nodes.groupBy(F.shiftright("thin", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(thin, 64) AS int)))").alias("bits"))
     bitmap = np.zeros(1 << (THIN_BITS - 6), np.int64)
     for r in words.toLocalIterator():
         bitmap[r.word] = r.bits
@@ -246,9 +246,11 @@ def components(edges: DataFrame) -> DataFrame:
 def similarity_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows with their class keys; the classes (``node``); links between classes that join all components."""
     rows = checkpointed(sketch_documents(docs, doc_id, text, words))
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
-    rep_thin = rows.where("n > 0").select("k1", "k2", F.col("doc_id").alias("rep"), "thin").distinct()
-    classes = classes.join(rep_thin, (classes.k1 == rep_thin.k1) & (classes.k2 == rep_thin.k2) & classes.rep.eqNullSafe(rep_thin.rep)).select(classes["*"], rep_thin.thin)
+    classes = (
+        rows.where("n > 0")
+        .groupBy("k1", "k2")
+        .agg(F.min("doc_id").alias("rep"), F.coalesce(F.min_by("thin", "doc_id"), F.first("thin")).alias("thin"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    )
     nodes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
 
     keyed = nodes.select("node", F.explode("bands").alias("bucket"))

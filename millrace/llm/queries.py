@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, pieces, quality, token_counts, toxicity
+from millrace.llm import chat, decontaminate, line_dedup, near_dedup, pieces, pitman_yor, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +31,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_documents(encoded)
 
 
+@_query
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document, learned from four of five folds."""
+    return pitman_yor.score_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations, and one made of control strings, and read them back."""
@@ -55,6 +61,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@_query
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines and words that go as later copies of repeated runs, and a digest of what stays."""
+    clean = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return clean.select("doc_id", "removed_lines", "removed_words", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@_query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate component by word pairs at a similarity of 0.8."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+
+
 @_query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by a model that learned from labels outside the held-out quarter."""

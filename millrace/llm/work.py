@@ -7,20 +7,22 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def prepare(spark: SparkSession) -> None:
-    """Use the folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="millrace-")
     context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there from now on."""
-    prepare(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
