@@ -37,10 +37,10 @@ _KINDS = mix64(np.arange(1, 4, dtype=np.uint64))
 class Ftrl:
     """Parameters of the fit. ``sample`` bounds the labelled rows that are learned from."""
 
-    alpha: float = 0.15
+    alpha: float = 0.5
     beta: float = 1.0
-    l1: float = 0.6
-    l2: float = 1.0
+    l1: float = 3.0
+    l2: float = 0.1
     epochs: int = 4
     sample: int = 12_000
 
@@ -135,6 +135,6 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
                 hit = weight[place] != 0
                 once = np.unique(owner[hit] << DIMENSION_BITS | place[hit])
                 total = np.bincount(once >> DIMENSION_BITS, weight[once & (DIMENSION - 1)], minlength=part.num_rows) + bias
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in kept] + [pa.array(1.0 / (1.0 + np.exp(-total)))], schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in kept] + [pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -500, 500))))], schema.names)
 
     return docs.mapInArrow(run, schema)
