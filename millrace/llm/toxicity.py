@@ -92,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         .orderBy(F.xxhash64("id"), "id")
         .limit(how.sample)
     )
-    # At most ``sample`` rows of two numbers: small enough to send to every task by construction.
+    # At most ``sample`` rows of two numbers, small enough to send to every task by construction.
     texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         at, w, bias = fit([(np.frombuffer(p, np.int32), y) for _, p, y in rows], how)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], at]).astype(np.int64)), pa.array(np.concatenate([[bias], w]))], ["place", "weight"])
 
-    fitted = texts.select("id", "text", "y").mapInArrow(prepare, "id long, y int, places binary").coalesce(1).mapInArrow(learn, "place long, weight double")
+    # Features are made where the texts are; only those of the sample go to the task that learns.
+    fitted = texts.select("id", "text", "y").mapInArrow(prepare, "id long, y int, places binary").repartition(1).mapInArrow(learn, "place long, weight double")
     rows = fitted.toPandas()
     if not len(rows):
         return np.zeros(0, np.int64), np.zeros(0), float(np.log(0.1 / 0.9))
