@@ -41,3 +41,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nest orders into documents, shred them back, and count child rows by their flags."""
     child = nested_orders(spark, sf_dir).select("o_orderkey", F.posexplode("items").alias("pos", "item"))
     return child.groupBy("item.l_returnflag", "item.l_linestatus").agg(F.count("*").alias("n_rows"), F.countDistinct("o_orderkey").alias("n_parents"))
+
+
+def load_all() -> None:
+    """Register the queries of all modules."""
+    from millrace.plans import queries_load, queries_shape  # noqa: F401
