@@ -64,15 +64,17 @@ class UniqueNamer:
         self.bound = bound
         self._owner: dict[str, str | None] = {normalize_ident(r, bound): None for r in reserved}
 
-    def name_for(self, source: str) -> str:
+    def name_for(self, source: str, owner: str | None = None) -> str:
+        """The name of a source field; ``owner`` tells apart fields that are spelled alike."""
+        owner = source if owner is None else owner
         plain = normalize_ident(source, self.bound)
         name, attempt = plain, 0
-        while name in self._owner and self._owner[name] != source:
-            salted = source if attempt == 0 else f"{source}\x01{attempt}"
+        while name in self._owner and self._owner[name] != owner:
+            salted = owner if attempt == 0 else f"{owner}\x01{attempt}"
             name, attempt = _fit(plain, salted, self.bound, True), attempt + 1
             if attempt > len(self._owner) + 2:
                 raise ValueError(f"no free name for {source!r} within {self.bound} characters")
-        self._owner[name] = source
+        self._owner[name] = owner
         return name
 
 

@@ -33,19 +33,15 @@ def lower(df: DataFrame, to: Capabilities) -> DataFrame:
     namer = N.UniqueNamer(to.max_name, reserved=())
     out: list[Column] = []
 
-    def visit(c: Column, t: T.DataType, path: str) -> None:
+    def visit(c: Column, t: T.DataType, path: tuple[str, ...]) -> None:
         if isinstance(t, T.StructType) and not to.structs:
             for f in t:
-                visit(c[f.name], f.dataType, f"{path}__{f.name}")
-        elif isinstance(t, T.DecimalType) and not to.decimal:
-            out.append(decimal_text(c).alias(namer.name_for(path)))
-        else:
-            out.append(c.alias(namer.name_for(path)))
-
-    for f in df.schema:
-        if not isinstance(f.dataType, T.StructType):
-            visit(F.col(f"`{f.name}`"), f.dataType, f.name)
-    for f in df.schema:
-        if isinstance(f.dataType, T.StructType):
-            visit(F.col(f"`{f.name}`"), f.dataType, f.name)
+                visit(c[f.name], f.dataType, (*path, f.name))
+            return
+        name = namer.name_for("__".join(path), "\x1f".join(path))
+        out.append((decimal_text(c) if isinstance(t, T.DecimalType) and not to.decimal else c).alias(name))
+
+    # Plain columns come first, so that they keep their names.
+    for f in sorted(df.schema, key=lambda f: isinstance(f.dataType, T.StructType)):
+        visit(F.col(f"`{f.name}`"), f.dataType, (f.name,))
     return df.select(*out)
