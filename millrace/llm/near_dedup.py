@@ -1,21 +1,24 @@
 """MinHash near-dedup with odd sketches.
 
 A document is the set of its distinct word shingles (64-bit hashes). Equal sets form a class, and only one
-set per class goes on. A MinHash signature of 128 values gives 32 band keys of 4 values each, and is folded
-into an odd sketch: a 512-bit parity bitmap. The XOR of two sketches has as many set bits as the samples
+set per class goes on. A MinHash signature of 256 values gives 32 band keys of 4 values each, and is folded
+into an odd sketch: a 1,024-bit parity bitmap. The XOR of two sketches has as many set bits as the samples
 differ, which estimates high similarities closely, so it turns most wrong band matches away before any
 full set is read. Every link is confirmed on the full sets.
 
 At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8^4)^32 < 1e-7. The sketch turns
-a pair away only if its estimate is 0.25 below the threshold, about seven standard deviations.
+a pair away only if its estimate is 0.15 below the threshold, nearly five standard deviations.
 
 Buckets are never expanded into all pairs:
 
-1. In each bucket every member is held against one pivot; confirmed links are joined to components.
-2. Where a bucket still has members of several components, those outside its largest one are held against
-   the members of other components, in salted blocks, and the sketches are compared inside the join.
+1. Bands take turns. In each bucket, members outside its largest component are held against one member of
+   that component; confirmed links are joined to components before the next bands come up. So a member of a
+   large group is compared a few times, whatever the size of the group.
+2. Where a bucket then still has members of several components, those outside its largest one are held
+   against the members of other components, in salted blocks; sizes and sketches are compared inside the
+   join, and a pair comes out of its first common bucket only.
 
-A link that is lost to neither step is one inside a component, where it can change nothing. Components are
+A link that is seen by neither step is one inside a component, where it can change nothing. Components are
 found by alternating large and small stars, with a checkpoint each round; nothing of it is collected.
 
 Defined cases: null and empty texts have empty sets and are linked with nothing; a text with fewer words
@@ -36,11 +39,13 @@ from pyspark.sql import functions as F
 from millrace.llm.kernel import mix64, slices, word_hashes
 from millrace.llm.work import checkpointed
 
-SAMPLES, BANDS, SKETCH = 128, 32, 512
+SAMPLES, BANDS, ROWS, SKETCH = 256, 32, 4, 1024
+#: Bands that are used together: few pairs join most of a group before the others are looked at.
+TURNS = ((0, 2), (2, 8), (8, 32))
 #: Bits of the bitmap that thins documents out before their sets are made anew (2 MB).
 THIN_BITS = 24
 #: Estimates may be so much below the threshold.
-MARGIN = 0.25
+MARGIN = 0.15
 #: Members of a bucket that meet in one block of the second step.
 BLOCK = 1000
 MAX_ROUNDS = 60
@@ -91,8 +96,8 @@ def signature(s: np.ndarray) -> np.ndarray:
     """MinHash values of a set."""
     short = (s >> np.uint64(32)).astype(np.uint32)
     least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(short), 1024):
-        values = short[a : a + 1024, None] ^ _FLIP
+    for a in range(0, len(short), 512):
+        values = short[a : a + 512, None] ^ _FLIP
         values *= _TIMES
         np.minimum(least, values.min(axis=0), out=least)
     return least
@@ -100,7 +105,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
     """Keys of the bands (int64), different in each band."""
-    wide = signatures.astype(np.uint64).reshape(len(signatures), BANDS, SAMPLES // BANDS)
+    wide = signatures[:, : BANDS * ROWS].astype(np.uint64).reshape(len(signatures), BANDS, ROWS)
     key = np.broadcast_to(_BAND, wide.shape[:2]).copy()
     for r in range(wide.shape[2]):
         key = mix64(key + wide[:, :, r])
@@ -253,30 +258,45 @@ def similarity_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     )
     nodes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
 
-    keyed = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = keyed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = checkpointed(keyed.join(buckets, "bucket"))
     brief = nodes.select("node", "n", "odd")
-    near = members.select("node").distinct()
-    sets = checkpointed(_full_sets(docs, doc_id, text, words, nodes.join(near, "node")))
-
-    stars = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    stars = stars.join(_side(brief, "a"), "a").join(_side(brief, "b"), "b").where(_alike("a", "b", share)).select("a", "b")
-    links = checkpointed(_confirm(stars, sets, share))
-    labels = components(links)
-
-    placed = members.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label"))
-    held = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = held.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count("*").alias("labels")).where("labels > 1")
-    mixed = placed.join(mixed, "bucket").join(brief, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    left = mixed.where("label <> major").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"a{c}") for c in ("node", "label", "n", "odd")])
-    right = mixed.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "major", *[F.col(c).alias(f"b{c}") for c in ("node", "label", "n", "odd")])
+    sets = checkpointed(_full_sets(docs, doc_id, text, words, nodes.join(members.select("node").distinct(), "node")))
+
+    links: DataFrame | None = None
+    labels = nodes.select("node", F.col("node").alias("label")).limit(0)
+    for first, past in TURNS:
+        placed, mixed = _mixed(members.where(F.col("band").between(first, past - 1)), labels)
+        stars = placed.join(mixed, "bucket").where("label <> major").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        stars = stars.join(_side(brief, "a"), "a").join(_side(brief, "b"), "b").where(_alike("a", "b", share)).select("a", "b")
+        found = checkpointed(_confirm(stars, sets, share))
+        links = found if links is None else links.union(found)
+        labels = components(links)
+
+    placed, mixed = _mixed(members, labels)
+    wide = placed.join(mixed, "bucket").join(nodes.select("node", "n", "odd", "bands"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    own = ("node", "label", "n", "odd", "bands")
+    left = wide.where("label <> major").select("bucket", "band", "major", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"a{c}") for c in own])
+    right = wide.select("bucket", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), *[F.col(c).alias(f"b{c}") for c in own])
+    earlier = F.exists(F.sequence(F.lit(0), F.col("band")), lambda i: (i < F.col("band")) & (F.get("abands", i) == F.get("bbands", i)))
     # Of two members outside the largest component, the lesser one comes first.
-    rest = left.join(right, ["bucket", "block"]).where((F.col("alabel") != F.col("blabel")) & ((F.col("blabel") == F.col("major")) | (F.col("anode") < F.col("bnode"))) & _alike("a", "b", share))
+    rest = left.join(right, ["bucket", "block"]).where(
+        (F.col("alabel") != F.col("blabel")) & ((F.col("blabel") == F.col("major")) | (F.col("anode") < F.col("bnode"))) & _alike("a", "b", share) & ~earlier
+    )
     more = checkpointed(_confirm(rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct(), sets, share))
     return rows, nodes, links.union(more)
 
 
+def _mixed(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members with their labels; of each bucket with several labels the largest one and a member of it."""
+    placed = members.join(labels, "node", "left").select("bucket", "band", "node", "size", F.coalesce("label", "node").alias("label"))
+    held = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
+    largest = F.max(F.struct("n", "label", "pivot"))
+    mixed = held.groupBy("bucket").agg(largest["label"].alias("major"), largest["pivot"].alias("pivot"), F.count("*").alias("labels")).where("labels > 1")
+    return placed, mixed.select("bucket", "major", "pivot")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row; the least id of a component is kept."""
     rows, nodes, links = similarity_links(docs, doc_id, text, words, share)
