@@ -48,7 +48,7 @@ BURN_IN, SAMPLES = 2, 3
 DISCOUNT, STRENGTH, TOP_DISCOUNT, TOP_STRENGTH = 0.85, 1.0, 0.6, 1.0
 HOT = 1 / 2000
 #: Bytes of dealt tokens in one place.
-PLACE_BYTES = 40 << 20
+PLACE_BYTES = 14 << 20
 _TOKEN_BYTES = 10
 
 _PARTS = ["key", "log_p", "log_c", "known", "grid"]
@@ -97,9 +97,12 @@ class Seating:
 
     def __init__(self, words: np.ndarray, contexts: np.ndarray, counts: np.ndarray, context_totals: np.ndarray, total: int, seed: int):
         """words, contexts, counts: training tokens of this place (repeats are added up)."""
-        self.words, inverse = np.unique(words, return_inverse=True)
-        key, at = np.unique(inverse.astype(np.int64) * CONTEXTS + contexts, return_inverse=True)
-        self.key, self.c = key, np.bincount(at.ravel(), counts, minlength=len(key)).astype(np.int64)
+        self.words, pair = np.unique(words, return_inverse=True)
+        pair *= CONTEXTS
+        pair += contexts
+        key, at = np.unique(pair, return_inverse=True)
+        self.key, self.c = key, np.bincount(at, counts, minlength=len(key)).astype(np.int64)
+        del pair, at
         self.word, self.context = key // CONTEXTS, key % CONTEXTS
         self.count = np.bincount(self.word, self.c, minlength=len(self.words)).astype(np.int64)
         self.context_totals, self.total = context_totals, max(1, total)
@@ -292,8 +295,8 @@ def _seat(place: int, rows: list[dict], totals: np.ndarray, total: int) -> Seati
             words.append(w), contexts.append(k), counts.append(np.frombuffer(r["counts"], np.int64))
         else:
             train = np.repeat(np.frombuffer(r["train"], bool), np.frombuffer(r["sizes"], np.int32))
-            words.append(w[train]), contexts.append(k[train]), counts.append(np.ones(int(train.sum()), np.int64))
-    return Seating(np.concatenate(words), np.concatenate(contexts).astype(np.int64), np.concatenate(counts), totals, total, place)
+            words.append(w[train]), contexts.append(k[train]), counts.append(np.ones(int(train.sum()), np.int32))
+    return Seating(np.concatenate(words), np.concatenate(contexts), np.concatenate(counts), totals, total, place)
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
