@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, line_dedup, near_dedup, pieces, pitman_yor, quality, token_counts, toxicity
+from millrace.llm import chat, decontaminate, line_dedup, near_dedup, packing, pieces, pitman_yor, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,6 +61,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@_query
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into rows of 2,048 ids, with digests of the matrices."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=50256)
+    return packing.pack_digest(packed)
+
+
 @_query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines and words that go as later copies of repeated runs, and a digest of what stays."""
