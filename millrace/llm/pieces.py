@@ -34,7 +34,7 @@ from millrace.llm.kernel import slices, strings
 
 MARK = "▁"
 #: Distinct units that are kept; beyond it the memory starts anew.
-UNITS_KEPT = 400_000
+UNITS_KEPT = 200_000
 #: Units of up to so many characters are merged many at once, so many at a time.
 _ROW, _ROWS = 40, 4096
 _NEVER = np.int32(2**31 - 1)
