@@ -102,7 +102,8 @@ class _Run:
         self.report = Report(pipeline.name, self.load_id)
         #: Schemas that this run has seen: the baseline of drift is the run.
         self.known: dict[str, T.StructType] = {}
-        self.shape: dict[str, infer.Table] = {}
+        #: Lines that are read for several tables, until their commit.
+        self.parsed: list[DataFrame] = []
         self.seq = 0
 
     def mode(self, stream: StreamSpec) -> str:
@@ -148,13 +149,21 @@ class _Run:
             rows = rows.unionByName(b.rows, allowMissingColumns=True)
         tables = self.structured(s, table, held) if s.structured else self.raw(s, table, key, rows)
         tables = {t: lower(df, self.p.destination.capabilities) for t, df in tables.items()}
-        self.report.rows_read[s.name] = self.report.rows_read.get(s.name, 0) + rows.count()
         cursor = held[-1].cursor
         mode = self.mode(s)
         if mode == "merge" and s.structured:
             merge.require_keys(tables[table], key)
         unit = Unit(self.load_id, self.seq, tables, table, mode, tuple(key), {s.name: cursor} if cursor is not None else {})
         receipt = self.p.destination.commit(self.spark, self.p.name, unit)
+        # Where all rows are written, they were counted as such: typed input isn't read again to count it.
+        if s.structured and mode != "merge" and self.p.schema_policy == policy.Policy():
+            read = receipt["rows"][table]
+        else:
+            read = rows.count()
+        self.report.rows_read[s.name] = self.report.rows_read.get(s.name, 0) + read
+        for lines in self.parsed:
+            lines.unpersist()
+        self.parsed = []
         self.seq += 1
         self.report.commits += 1
         for t, n in receipt["rows"].items():
@@ -188,6 +197,7 @@ class _Run:
 
     def raw(self, s: StreamSpec, table: str, key: tuple[str, ...], lines: DataFrame) -> dict[str, DataFrame]:
         lines = lines.persist()
+        self.parsed.append(lines)
         seen = infer.resolve(infer.observe(lines), table, s.type_hints, self.p.destination.capabilities.scalar_lists)
         built = infer.build(lines, seen, self.load_id, list(key) or None)
         out: dict[str, DataFrame] = {}
