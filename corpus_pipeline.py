@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, near_dedup, pieces, quality
-from millrace.llm.work import shared_folder
-from millrace.session import ship
+from millrace.session import shared_folder, ship
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

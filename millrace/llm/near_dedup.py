@@ -226,17 +226,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataF
     return both.select("a", "b", "ashingles", "bshingles").mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """``node, label`` (least node of its component) of every node with an edge ``a, b``.
 
+    With ``rounds``, it ends after so many: equal labels then still mean one component, but a component may
+    have several.
+
     Alternating stars: each node is tied to the least of its neighbourhood until nothing changes. Joins are
     one to many, so a node with very many neighbours is split by adaptive execution.
     """
     now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     seen = None
-    for _ in range(MAX_ROUNDS):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
+    for n in range(MAX_ROUNDS):
+        if n == rounds:
+            return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+        mark = None if rounds else now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == seen and not rounds:
             return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v")).distinct())
         seen = mark
         both = now.union(now.select("v", "u"))
@@ -272,7 +277,8 @@ def similarity_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         stars = stars.join(_side(brief, "a"), "a").join(_side(brief, "b"), "b").where(_alike("a", "b", share)).select("a", "b")
         found = checkpointed(_confirm(stars, sets, share))
         links = found if links is None else links.union(found)
-        labels = components(links)
+        # Labels that aren't final only mean more comparisons.
+        labels = components(links, rounds=2)
 
     placed, mixed = _mixed(members, labels)
     wide = placed.join(mixed, "bucket").join(nodes.select("node", "n", "odd", "bands"), "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))

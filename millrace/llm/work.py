@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where none is set (local tests)."""
-    context = spark.sparkContext
-    known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="millrace-")
-    context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
+
+    It learns of them from the driver's garbage collection, which a small driver may put off for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there from now on."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
