@@ -107,6 +107,7 @@ class Seating:
         self.count = np.bincount(self.word, self.c, minlength=len(self.words)).astype(np.int64)
         self.context_totals, self.total = context_totals, max(1, total)
         self.samples: list[np.ndarray] = []
+        self._made: tuple | None = None
         if len(key):
             self._gibbs(np.random.default_rng(seed))
 
@@ -167,12 +168,15 @@ class Seating:
     def score(self, words: np.ndarray, contexts: np.ndarray, tables: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probabilities of the model, training counts, and whether known, of tokens."""
         at, known = self.place_of(words)
-        seen, parents, back = self.probabilities(tables, vocabulary)
+        if self._made is None or self._made[0] is not tables:
+            # Once for a place: all of its rows are scored with the same sums.
+            self._made = (tables, *self.probabilities(tables, vocabulary))
+        _, seen, parents, back = self._made
         _, top = back_off(self.context_totals, tables)
-        fresh = ((TOP_STRENGTH + TOP_DISCOUNT * vocabulary) / top)[:, None]
+        fresh = (TOP_STRENGTH + TOP_DISCOUNT * vocabulary) / top
         p = np.zeros(len(words))
         for s in range(len(back)):
-            parent = np.where(known, parents[s, at], fresh[s]) if len(parents) else fresh[s]
+            parent = np.where(known, parents[s, at], fresh[s]) if parents.size else fresh[s]
             p += back[s, contexts] * parent
         p /= len(back)
         if len(self.key):
