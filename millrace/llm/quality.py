@@ -96,26 +96,32 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
         ).alias("__places"),
     )
     stop = [w for w in dict.fromkeys(STOP_WORDS)]
-    return places.select(
+    counts = places.select(
         *own,
-        F.size("__words").cast("long").alias("n_words"),
-        F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-        _count(F.filter("__words", lambda w: F.lower(w).isin(stop))).alias("n_stop_words"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _count(F.filter("__lines", lambda x: F.ltrim(x).rlike(r"^[-*•]"))).alias("n_bullet_lines"),
-        _count(F.filter("__lines", lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$"))).alias("n_ellipsis_lines"),
-        F.coalesce(
-            F.aggregate(
-                F.transform("__places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__places", k + 1) - p, F.lit(WINDOW)))).cast("array<bigint>"),
-                F.lit(0).cast("bigint"),
-                lambda a, x: a + x,
-            ),
-            F.lit(0),
-        ).alias("n_repeat_words"),
+        F.struct(
+            F.size("__words").cast("long").alias("n_words"),
+            F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
+            F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+            _count(F.filter("__words", lambda w: F.lower(w).isin(stop))).alias("n_stop_words"),
+            F.size("__lines").cast("long").alias("n_lines"),
+            (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+            _count(F.filter("__lines", lambda x: F.ltrim(x).rlike(r"^[-*•]"))).alias("n_bullet_lines"),
+            _count(F.filter("__lines", lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$"))).alias("n_ellipsis_lines"),
+            F.coalesce(
+                F.aggregate(
+                    F.transform("__places", lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get("__places", k + 1) - p, F.lit(WINDOW)))).cast("array<bigint>"),
+                    F.lit(0).cast("bigint"),
+                    lambda a, x: a + x,
+                ),
+                F.lit(0),
+            ).alias("n_repeat_words"),
+            # Not a function of the row alone: so no filter on a count is pushed below this projection, where
+            # each array would be written out anew for every use of it.
+            F.monotonically_increasing_id().alias("once"),
+        ).alias("__counts"),
     )
+    return counts.select(*own, *[F.col("__counts")[c].alias(c) for c in COUNTS])
 
 
 def base_failed() -> Column:
