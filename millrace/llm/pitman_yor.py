@@ -237,7 +237,7 @@ def _is_in(sorted_words: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.
     return sorted_words[at] == words, at
 
 
-_DEALT = "place int, docs binary, sizes binary, train binary, words binary, contexts binary, counts binary"
+_DEALT = "place int, docs binary, sizes binary, train binary, words binary, contexts binary, counts binary, part long"
 
 
 def _deal(docs: DataFrame, hot: np.ndarray, places: int) -> DataFrame:
@@ -249,8 +249,8 @@ def _deal(docs: DataFrame, hot: np.ndarray, places: int) -> DataFrame:
         counts = np.zeros((len(hot_words), CONTEXTS), np.int64)
 
         def rows(made: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int32(), *[pa.binary()] * 6]
-            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], ["place", "docs", "sizes", "train", "words", "contexts", "counts"])
+            kinds = [pa.int32(), *[pa.binary()] * 6, pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], ["place", "docs", "sizes", "train", "words", "contexts", "counts", "part"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -270,13 +270,13 @@ def _deal(docs: DataFrame, hot: np.ndarray, places: int) -> DataFrame:
                     a, b = cuts[p], cuts[p + 1]
                     if b > a:
                         of, sizes = np.unique(text[a:b], return_counts=True)
-                        made.append((p, keys[of].tobytes(), sizes.astype(np.int32).tobytes(), learned[of].tobytes(), word[a:b].tobytes(), ctx[a:b].tobytes(), b""))
+                        made.append((p, keys[of].tobytes(), sizes.astype(np.int32).tobytes(), learned[of].tobytes(), word[a:b].tobytes(), ctx[a:b].tobytes(), b"", int(keys[0])))
                 if made:
                     yield rows(made)
         w, k = np.nonzero(counts)
         if len(w):
             place = (mix64(hot_words[w]) % np.uint64(places)).astype(np.int64)
-            yield rows([(int(p), b"", b"", b"", hot_words[w[m]].tobytes(), k[m].astype(np.uint16).tobytes(), counts[w[m], k[m]].tobytes()) for p in np.unique(place) for m in [place == p]])
+            yield rows([(int(p), b"", b"", b"", hot_words[w[m]].tobytes(), k[m].astype(np.uint16).tobytes(), counts[w[m], k[m]].tobytes(), 0) for p in np.unique(place) for m in [place == p]])
 
     return docs.select("doc_id", "text", "__key").mapInArrow(run, _DEALT)
 
@@ -332,8 +332,12 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             tables[r.sample, r.context] = r.n
     hot_shared = spark.sparkContext.broadcast(hot)
 
+    def packed(part: int, docs: bytes, log_p: np.ndarray, log_c: np.ndarray, known: np.ndarray, grid: bytes | None) -> pa.RecordBatch:
+        columns = [pa.array([x], pa.binary()) for x in (docs, log_p.tobytes(), log_c.tobytes(), known.tobytes(), grid)]
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *columns], ["part", "docs", "log_p", "log_c", "known", "grid"])
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text the sums over its tokens here (``word`` null); of each hot word its probabilities."""
+        """Of each dealt row the sums of its texts over their tokens here; of each hot word its probabilities."""
         for place, rows in _places(batches):
             s = _seat(place, rows, totals, total)
             for r in rows:
@@ -342,19 +346,33 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                     log_p, c, known = s.score(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["contexts"], np.uint16).astype(np.int64), tables, vocabulary)
                     at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                     sums = [np.add.reduceat(x, at) for x in (log_p, np.log10(c + 0.5), known.astype(np.int64))]
-                    keys = np.frombuffer(r["docs"], np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, sums), pa.nulls(len(keys), pa.binary())], _PARTS)
+                    yield packed(r["part"], r["docs"], *sums, None)
             own = hot_shared.value[(mix64(hot_shared.value) % np.uint64(places)).astype(np.int64) == place]
             if len(own):
                 grid = np.tile(np.arange(CONTEXTS), len(own))
                 log_p, c, _ = s.score(np.repeat(own, CONTEXTS), grid, tables, vocabulary)
                 first = np.arange(len(own)) * CONTEXTS
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own.view(np.int64)), pa.array(np.zeros(len(own))), pa.array(np.log10(c[first] + 0.5)), pa.array((c[first] > 0).astype(np.int64)), pa.array([log_p[i : i + CONTEXTS].astype(np.float32).tobytes() for i in first.tolist()], pa.binary())],
-                    _PARTS,
-                )
+                for word, i in zip(own, first.tolist(), strict=True):
+                    yield packed(int(word.view(np.int64)), word.tobytes(), np.zeros(1), np.log10(c[i : i + 1] + 0.5), (c[i : i + 1] > 0).astype(np.int64), log_p[i : i + CONTEXTS].astype(np.float32).tobytes())
 
-    parts = dealt.mapInArrow(score, "key long, log_p double, log_c double, known long, grid binary")
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sums of texts whose places meet here; hot words go through."""
+        held: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]]
+        for batch in batches:
+            for r in batch.to_pylist():
+                own = [np.frombuffer(r[n], t) for n, t in (("docs", np.int64), ("log_p", np.float64), ("log_c", np.float64), ("known", np.int64))]
+                if r["grid"] is None:
+                    for h, x in zip(held, own, strict=True):
+                        h.append(x)
+                else:
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array([r["grid"]], pa.binary())], _PARTS)
+        keys, at = np.unique(np.concatenate(held[0]), return_inverse=True)
+        if len(keys):
+            log_p, log_c, known = (np.bincount(at, np.concatenate(h), minlength=len(keys)) for h in held[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(log_p), pa.array(log_c), pa.array(np.rint(known).astype(np.int64)), pa.nulls(len(keys), pa.binary())], _PARTS)
+
+    # A slice of texts has one row a place here, however many texts it has; its rows meet in one task.
+    parts = dealt.mapInArrow(score, "part long, docs binary, log_p binary, log_c binary, known binary, grid binary").repartition("part").mapInArrow(merge, "key long, log_p double, log_c double, known long, grid binary")
     sums = checkpointed(parts.groupBy("key", "grid").agg(F.sum("log_p").alias("log_p"), F.sum("log_c").alias("log_c"), F.sum("known").alias("known")))
 
     # At most 1 / HOT words with CONTEXTS numbers each, whatever the input.
