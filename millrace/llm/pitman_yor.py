@@ -1,23 +1,24 @@
 """Scores of texts under a hierarchical Pitman-Yor language model.
 
 Every context has a Chinese restaurant whose customers are the words seen after it. A context is the word
-before, hashed to one of ``CONTEXTS`` restaurants, and all of them share one parent restaurant, whose
-customers are their tables; above it new words come from a mass of their own. A word w after context k has
+before, by its 64-bit hash, so there are as many restaurants as the corpus has contexts; all of them share one
+parent restaurant, whose customers are their tables; above it new words come from a mass of their own. A word
+w after context k has
 
     p(w | k) = (c_kw - d t_kw) / (theta + c_k)  +  (theta + d t_k) / (theta + c_k) * p(w)
 
 with c customers and t tables. Seating is sampled by Gibbs: given everything else, the number of tables at
-which a dish's c customers sit has probability ~ S_d(c, t) * ((theta + d t_k) p(w))^t, with the generalised
-Stirling numbers S_d of the restaurant process; all customers of a dish in a restaurant are drawn at once.
-Beyond ``SEATED`` customers of a dish, the tables of that many are drawn and grown by the power law
-(c / SEATED)^d. The predictive probabilities of several samples after burn-in are averaged.
-
-How it is laid out: tokens are dealt out by a hash of the word, so a word's customers, tables and parent
-probability are in one place, and what is shared by all places are sums by context (``CONTEXTS`` numbers).
-Places sample on their own with the sums they expect; then the true sums over the whole corpus are gathered
-and used for the scores. Words of a large share (at least one token in ``1 / HOT``, so at most ``1 / HOT``
-words) are counted before they are dealt, and scored from a table that is sent to every task; that decides
-where work is done, not what comes out.
+which a dish's c customers sit has probability ~ S_d(c, t) times the rising factorials of its restaurant's and
+the parent's tables, with the generalised Stirling numbers S_d; all customers of a dish in a restaurant are
+drawn at once. Up to ``EXACT`` customers S_d comes from a table, beyond from the coefficients of
+(1 - (1 - z)^d)^t, by quadrature along a contour or at the saddle point. The predictive probabilities of
+several samples after burn-in are averaged.
+
+How it is laid out: pairs of word and context are dealt out by the hashes of both. A place keeps the counts and tables
+of its pairs; after each sweep the sums of tables by context and by word are gathered by key in ``SHARDS``
+shards and go back to the places that have the key, so each sweep is conditioned on the true sums of the one
+before. All pairs are drawn at once from these, with random numbers of the pair's hash, so scores don't depend
+on the number of places. Only totals of the whole corpus reach the driver.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. Unseen words share one
 outcome. Logarithms have base 10.
@@ -30,6 +31,7 @@ model's score is 0 and the base is as defined; an empty table gives an empty tab
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -39,21 +41,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.kernel import mix64, slices, word_hashes
-from millrace.llm.work import checkpointed
+from millrace.llm.work import checkpointed, release
 
+#: Contexts of a ``Seating``, the model of one place with all its sums at hand.
 CONTEXTS = 1024
-SEATED = 256
+#: Customers up to which Stirling numbers come from a table.
+EXACT = 1024
 BURN_IN, SAMPLES = 2, 3
 #: Discounts and strengths of the context restaurants and of their parent.
 DISCOUNT, STRENGTH, TOP_DISCOUNT, TOP_STRENGTH = 0.85, 1.0, 0.6, 1.0
-HOT = 1 / 2000
-#: Bytes of dealt tokens in one place.
-PLACE_BYTES = 14 << 20
-_TOKEN_BYTES = 10
-
-_PARTS = ["key", "log_p", "log_c", "known", "grid"]
+#: Bytes of text whose pairs make one place.
+PLACE_BYTES = 12 << 20
+#: Parts in which sums by context and by word are gathered.
+SHARDS = 64
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
+#: The context of a text's first token.
+START = np.uint64(0x57A7)
 
 
 def log_stirling(n: int, d: float) -> np.ndarray:
@@ -68,11 +72,133 @@ def log_stirling(n: int, d: float) -> np.ndarray:
     return out
 
 
-_STIRLING = log_stirling(SEATED, DISCOUNT)
+_STIRLING: list[np.ndarray] = []
+
+
+def _table() -> np.ndarray:
+    if not _STIRLING:
+        _STIRLING.append(log_stirling(EXACT, DISCOUNT))
+    return _STIRLING[0]
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function for x > 0."""
+    x = np.asarray(x, np.float64)
+    y = x + 8
+    low = sum(np.log(x + i) for i in range(8))
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - low
+
+
+_ANGLE = np.linspace(0, 4, 41)
+
+
+def log_stirling_large(c: np.ndarray, t: np.ndarray, d: float = DISCOUNT) -> np.ndarray:
+    """log S_d(c, t) for large c and real 1 <= t <= c.
+
+    S_d(c, t) = c! / (t! d^t) [z^c] (1 - (1 - z)^d)^t. The coefficient is an integral over s, z = exp(-s), along
+    a parabola around the cut s < 0; where the saddle is far from the cut, its own value is as good.
+    """
+    c, t = np.broadcast_arrays(np.asarray(c, np.float64), np.asarray(t, np.float64))
+    lo, hi = np.full(c.shape, -700.0), np.full(c.shape, -1e-9)
+    goal = np.log(c / t)
+    for _ in range(50):
+        x = (lo + hi) / 2
+        above = math.log(d) + (d - 1) * x + np.log(-np.expm1(x)) - np.log(-np.expm1(d * x)) > goal
+        lo, hi = np.where(above, x, lo), np.where(above, hi, x)
+    q = np.exp((lo + hi) / 2)
+    s = -np.log1p(-q)
+    qd = q**d
+    curve = c / t * ((1 - q) / np.maximum(q, 1e-300)) * ((1 - d) + q / (1 - q) - d * qd / (1 - qd))
+    out = t * np.log1p(-qd) + s * c - 0.5 * np.log(2 * math.pi * np.maximum(t * curve, 1e-300))
+    near = s * c < 30
+    if near.any():
+        cn, tn = c[near][:, None], t[near][:, None]
+        mu = np.maximum(s[near][:, None], 2 / cn)
+        ray = 1 + 1j * _ANGLE
+        at = mu * ray**2
+        value = tn * np.log(1 - (-np.expm1(-at)) ** d) + at * cn
+        first = value[:, :1].real
+        sums = (np.exp(value - first) * ray).real
+        sums[:, 0] /= 2
+        total = sums.sum(axis=1) * (_ANGLE[1] - _ANGLE[0]) * 2 * mu[:, 0] / math.pi
+        out[near] = first[:, 0] + np.log(np.maximum(total, 1e-300))
+    out = np.where(t >= c, c * math.log(d), out)
+    return out + log_gamma(c + 1) - log_gamma(t + 1) - t * math.log(d)
+
+
+def _rising(a: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return log_gamma(a + t) - log_gamma(a)
+
+
+def draw_tables(c: np.ndarray, tables: np.ndarray, dish: np.ndarray, tables_all: float, fresh: float, uniform: np.ndarray) -> np.ndarray:
+    """Tables of dishes with ``c`` customers, given the other tables of their restaurant and dish, and of all.
+
+    ``fresh``: probability of a dish that no other table has, for its first one.
+    """
+    t = np.minimum(c, 1)
+    stirling = _table()
+    order = np.flatnonzero((c > 1) & (c <= EXACT))
+    order = order[np.argsort(c[order], kind="stable")]
+    first = 0
+    while first < len(order):
+        width = int(c[order[first]])
+        top = width if width <= 16 else min(EXACT, 2 * width)
+        past = int(np.searchsorted(c[order], top, side="right"))
+        past = min(past, first + max(1, (1 << 19) // top))
+        rows = order[first:past]
+        i = np.arange(top)
+        others = dish[rows, None] + i
+        parent = np.where(others > 0, (others - TOP_DISCOUNT) / (TOP_STRENGTH + tables_all + i), fresh)
+        weight = stirling[c[rows], 1 : top + 1] + np.log((STRENGTH + DISCOUNT * (tables[rows, None] + i)) * parent).cumsum(axis=1)
+        weight -= weight.max(axis=1, keepdims=True)
+        heap = np.exp(weight).cumsum(axis=1)
+        t[rows] = np.minimum((heap < uniform[rows, None] * heap[:, -1:]).sum(axis=1) + 1, c[rows])
+        first = past
+    large = np.flatnonzero(c > EXACT)
+    for first in range(0, len(large), 512):
+        rows = large[first : first + 512]
+        t[rows] = _draw_large(c[rows], tables[rows], dish[rows], tables_all, fresh, uniform[rows])
+    return t
+
+
+def _draw_large(c: np.ndarray, tables: np.ndarray, dish: np.ndarray, tables_all: float, fresh: float, uniform: np.ndarray) -> np.ndarray:
+    c, tables, dish = c[:, None].astype(np.float64), tables[:, None], dish[:, None]
+    # The first table of a dish without others, then the rest.
+    lead = np.where(dish > 0, 0.0, math.log(fresh) - math.log((1 - TOP_DISCOUNT)) + math.log(TOP_STRENGTH + tables_all))
+    above = np.where(dish > 0, dish - TOP_DISCOUNT, 1 - TOP_DISCOUNT)
+
+    def weight(t: np.ndarray) -> np.ndarray:
+        own = t * math.log(DISCOUNT) + _rising(STRENGTH / DISCOUNT + tables, t)
+        up = np.where(dish > 0, _rising(above, t), _rising(above, t - 1) + math.log(1 - TOP_DISCOUNT)) - _rising(np.float64(TOP_STRENGTH + tables_all), t)
+        return log_stirling_large(c, t) + own + up + lead
+
+    t = np.exp(np.linspace(0, 1, 41) * np.log(c))
+    points, low, high = 41, np.ones_like(c), c
+    for _ in range(4):
+        w = weight(t)
+        good = w > w.max(axis=1, keepdims=True) - 30
+        a = np.maximum(good.argmax(axis=1) - 1, 0)
+        b = np.minimum(t.shape[1] - good[:, ::-1].argmax(axis=1), t.shape[1] - 1)
+        rows = np.arange(len(c))
+        low, high = np.floor(t[rows, a])[:, None], np.minimum(np.ceil(t[rows, b])[:, None], c)
+        points = 65
+        step = np.maximum((high - low) / (points - 1), 1)
+        t = np.minimum(low + step * np.arange(points), c)
+    w = weight(t)
+    # Narrow ranges have a point for each number; those beyond the end would repeat it.
+    w[:, 1:][(t[:, 1:] <= t[:, :-1]) | (t[:, 1:] > high + 0.5)] = -np.inf
+    heap = np.exp(w - w.max(axis=1, keepdims=True)).cumsum(axis=1)
+    goal = uniform * heap[:, -1]
+    at = np.minimum((heap < goal[:, None]).sum(axis=1), points - 1)
+    rows = np.arange(len(c))
+    before = np.where(at > 0, heap[rows, at - 1], 0)
+    within = (goal - before) / np.maximum(heap[rows, at] - before, 1e-300) - 0.5
+    drawn = np.where(step[:, 0] > 1, t[rows, at] + within * step[:, 0], t[rows, at])
+    return np.clip(np.rint(drawn), 1, c[:, 0]).astype(np.int64)
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with ends, contexts, and bounds of each text's tokens."""
+    """Token hashes with ends, contexts (the token before), and bounds of each text's tokens."""
     hashes, bounds = word_hashes(column)
     n = len(bounds) - 1
     words = np.diff(bounds)
@@ -82,225 +208,288 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[ends - 1] = True
     tokens[~last] = hashes
     tokens[last] = END
-    context = np.empty(len(tokens), np.uint16)
-    context[1:] = (mix64(tokens[:-1]) % np.uint64(CONTEXTS - 1) + np.uint64(1)).astype(np.uint16)
-    context[np.concatenate([[0], ends[:-1]])[: n]] = 0
+    context = np.empty(len(tokens), np.uint64)
+    context[1:] = tokens[:-1]
+    context[np.concatenate([[0], ends[:-1]])[:n]] = START
     return tokens, context, np.concatenate([[0], ends])
 
 
+def pairs_of(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """64 bits that name a word after a context."""
+    return mix64(words + mix64(contexts ^ np.uint64(0x9A1A)))
+
+
+def _place(words: np.ndarray, contexts: np.ndarray, grid: tuple[int, int]) -> np.ndarray:
+    """Places are a grid over contexts and words: a key is in one row or column of it, and a common one in many places."""
+    return (mix64(contexts) % np.uint64(grid[0]) * np.uint64(grid[1]) + mix64(words) % np.uint64(grid[1])).astype(np.int64)
+
+
+def _short(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and the places of x among them, in few bytes."""
+    values, at = np.unique(x, return_inverse=True)
+    return values, at.astype(np.uint16 if len(values) < 1 << 16 else np.uint32)
+
+
+def _uniform(pairs: np.ndarray, sweep: int) -> np.ndarray:
+    return (mix64(pairs ^ mix64(np.array([sweep + 77], np.uint64))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+
 def _held_out(ids: list[int | None]) -> np.ndarray:
     return np.array([i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i in ids], bool)
 
 
+def _first_tables(c: np.ndarray) -> np.ndarray:
+    return np.minimum(c, np.ceil(c**DISCOUNT).astype(np.int64))
+
+
+def _sums(at: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    return np.rint(np.bincount(at, x, minlength=n)).astype(np.int64)
+
+
+def _sweep(pairs: np.ndarray, c: np.ndarray, t: np.ndarray, tables: np.ndarray, dish: np.ndarray, tables_all: int, vocabulary: int, sweep: int) -> np.ndarray:
+    """New tables of pairs, given the sums of tables of their context, of their word and of all."""
+    seen = c > 0
+    fresh = (TOP_STRENGTH + TOP_DISCOUNT * vocabulary) / (TOP_STRENGTH + tables_all) / max(1, vocabulary)
+    out = np.zeros_like(t)
+    out[seen] = draw_tables(c[seen], (tables - t)[seen], (dish - t)[seen], float(tables_all), fresh, _uniform(pairs[seen], sweep))
+    return out
+
+
+def _probability(c: np.ndarray, t: np.ndarray, customers: np.ndarray, tables: np.ndarray, dish: np.ndarray, tables_all: int, vocabulary: int) -> np.ndarray:
+    top = TOP_STRENGTH + tables_all
+    parent = np.where(dish > 0, dish - TOP_DISCOUNT, TOP_STRENGTH + TOP_DISCOUNT * vocabulary) / top
+    return (c - DISCOUNT * t + (STRENGTH + DISCOUNT * tables) * parent) / (STRENGTH + customers)
+
+
 class Seating:
-    """The words of one place: counts, and sampled tables of every (word, context)."""
+    """The model of one place that has the whole corpus, with contexts as numbers."""
 
     def __init__(self, words: np.ndarray, contexts: np.ndarray, counts: np.ndarray, context_totals: np.ndarray, total: int, seed: int):
-        """words, contexts, counts: training tokens of this place (repeats are added up)."""
+        """words, contexts, counts: training tokens (repeats are added up)."""
         self.words, pair = np.unique(words, return_inverse=True)
-        pair *= CONTEXTS
-        pair += contexts
-        key, at = np.unique(pair, return_inverse=True)
-        self.key, self.c = key, np.bincount(at, counts, minlength=len(key)).astype(np.int64)
-        del pair, at
-        self.word, self.context = key // CONTEXTS, key % CONTEXTS
-        self.count = np.bincount(self.word, self.c, minlength=len(self.words)).astype(np.int64)
-        self.context_totals, self.total = context_totals, max(1, total)
+        self.key, at = np.unique(pair * len(context_totals) + contexts, return_inverse=True)
+        self.c = _sums(at, counts, len(self.key))
+        self.word, self.context = self.key // len(context_totals), self.key % len(context_totals)
+        self.count, self.context_totals = _sums(self.word, self.c, len(self.words)), context_totals
         self.samples: list[np.ndarray] = []
-        self._made: tuple | None = None
-        if len(key):
-            self._gibbs(np.random.default_rng(seed))
-
-    def _gibbs(self, rng: np.random.Generator) -> None:
-        n = np.minimum(self.c, SEATED)
-        grow = (self.c / n) ** DISCOUNT
-        t = np.minimum(n, np.ceil(n**DISCOUNT)).astype(np.float64) * grow
-        several = np.flatnonzero(n > 1)
-        order = several[np.argsort(n[several], kind="stable")]
-        share = self.total / max(1, int(self.c.sum()))
+        t, pairs = _first_tables(self.c), pairs_of(self.words[self.word], self.context.astype(np.uint64))
         for sweep in range(BURN_IN + SAMPLES):
-            # Sums over all places are taken to be as here; the true ones are used for scores.
-            part = t.sum() / self.c.sum()
-            tables, tables_all = part * self.context_totals, t.sum() * share
-            dish = np.bincount(self.word, t, minlength=len(self.words))
-            others = dish[self.word] - t - TOP_DISCOUNT
-            new = (TOP_STRENGTH + TOP_DISCOUNT * len(self.words) * share) / (TOP_STRENGTH + tables_all) / max(1, len(self.words) * share)
-            parent = np.where(others > 0, others / (TOP_STRENGTH + tables_all), new)
-            log_a = np.log((STRENGTH + DISCOUNT * tables[self.context]) * parent)
-            first = 0
-            while first < len(order):
-                width = int(n[order[first]])
-                top = width if width <= 16 else min(SEATED, 2 * width)
-                past = int(np.searchsorted(n[order], top, side="right"))
-                past = min(past, first + max(1, (1 << 20) // top))
-                rows = order[first:past]
-                weight = _STIRLING[n[rows], 1 : top + 1] + log_a[rows, None] * np.arange(1, top + 1)
-                weight -= weight.max(axis=1, keepdims=True)
-                heap = np.exp(weight).cumsum(axis=1)
-                drawn = (heap < rng.random(len(rows))[:, None] * heap[:, -1:]).sum(axis=1) + 1
-                t[rows] = drawn * grow[rows]
-                first = past
+            t = _sweep(pairs, self.c, t, self._by_context(t)[self.context], self._by_word(t)[self.word], int(t.sum()), len(self.words), sweep + seed)
             if sweep >= BURN_IN:
-                self.samples.append(t.copy())
+                self.samples.append(t)
+
+    def _by_context(self, t: np.ndarray) -> np.ndarray:
+        return _sums(self.context, t, len(self.context_totals))
+
+    def _by_word(self, t: np.ndarray) -> np.ndarray:
+        return _sums(self.word, t, len(self.words))
 
     def table_sums(self) -> np.ndarray:
         """Tables by sample and context."""
-        return np.array([np.bincount(self.context, t, minlength=CONTEXTS) for t in self.samples]) if self.samples else np.zeros((SAMPLES, CONTEXTS))
-
-    def probabilities(self, tables: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every (word, context) seen here; of each word with each sample in the parent; back-off by sample and context."""
-        back, top = back_off(self.context_totals, tables)
-        seen, parents = np.zeros(len(self.key)), []
-        for s, t in enumerate(self.samples):
-            parent = (np.bincount(self.word, t, minlength=len(self.words)) - TOP_DISCOUNT) / top[s]
-            own = (self.c - DISCOUNT * t) / (STRENGTH + self.context_totals[self.context])
-            seen += own + back[s, self.context] * parent[self.word]
-            parents.append(parent)
-        return seen / max(1, len(self.samples)), np.array(parents).reshape(-1, len(self.words)), back
-
-    def place_of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of words here, and whether they are here."""
-        if not len(self.words):
-            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return at, self.words[at] == words
+        return np.array([self._by_context(t) for t in self.samples])
 
     def score(self, words: np.ndarray, contexts: np.ndarray, tables: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probabilities of the model, training counts, and whether known, of tokens."""
-        at, known = self.place_of(words)
-        if self._made is None or self._made[0] is not tables:
-            # Once for a place: all of its rows are scored with the same sums.
-            self._made = (tables, *self.probabilities(tables, vocabulary))
-        _, seen, parents, back = self._made
-        _, top = back_off(self.context_totals, tables)
-        fresh = (TOP_STRENGTH + TOP_DISCOUNT * vocabulary) / top
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        known = self.words[at] == words
+        k = np.minimum(np.searchsorted(self.key, at * len(self.context_totals) + contexts), len(self.key) - 1)
+        seen = known & (self.key[k] == at * len(self.context_totals) + contexts)
         p = np.zeros(len(words))
-        for s in range(len(back)):
-            parent = np.where(known, parents[s, at], fresh[s]) if parents.size else fresh[s]
-            p += back[s, contexts] * parent
-        p /= len(back)
-        if len(self.key):
-            key = at * CONTEXTS + contexts
-            k = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            p = np.where(known & (self.key[k] == key), seen[k], p)
-        return np.log10(p), np.where(known, self.count[at] if len(self.count) else 0, 0), known
+        for t, own in zip(self.samples, tables, strict=True):
+            p += _probability(
+                np.where(seen, self.c[k], 0), np.where(seen, t[k], 0), self.context_totals[contexts], own[contexts], np.where(known, self._by_word(t)[at], 0), int(t.sum()), vocabulary
+            )
+        return np.log10(p / len(self.samples)), np.where(known, self.count[at], 0), known
 
 
-def back_off(context_totals: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The share of each sample's context that goes to the parent, and the parent's customers with its strength."""
-    back = (STRENGTH + DISCOUNT * tables) / (STRENGTH + context_totals)
-    return back, TOP_STRENGTH + tables.sum(axis=1)
+# ------------------------------------------------------------------------- places
 
+_ROWS = "place int, kind int, shard int, n long, tokens long, blob binary"
+_NAMES = ["place", "kind", "shard", "n", "tokens", "blob"]
+_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+STATE, BY_CONTEXT, BY_WORD, TEXTS = range(4)
 
-def _survey(docs: DataFrame) -> tuple[np.ndarray, int, int, np.ndarray]:
-    """Training tokens by context, all training tokens, bytes to deal, and the hot words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, often, every = np.zeros(CONTEXTS, np.int64), {}, 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                tokens, context, bounds = tokens_of(part.column(1))
-                train = np.repeat(~_held_out(part.column(0).to_pylist()), np.diff(bounds))
-                contexts += np.bincount(context[train], minlength=CONTEXTS)
-                every += len(tokens)
-                word, n = np.unique(tokens, return_counts=True)
-                common = n >= HOT / 2 * len(tokens)
-                for w, c in zip(word[common].tolist(), n[common].tolist(), strict=True):
-                    often[w] = often.get(w, 0) + c
-        words = np.array(list(often), np.uint64).view(np.int64)
-        n = np.array(list(often.values()), np.int64)
-        large = n >= HOT / 4 * every
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([np.zeros(CONTEXTS, np.int8), np.ones(int(large.sum()), np.int8), [np.int8(2)]]).astype(np.int8)),
-                pa.array(np.concatenate([np.arange(CONTEXTS), words[large], [0]]).astype(np.int64)),
-                pa.array(np.concatenate([contexts, n[large], [every]]).astype(np.int64)),
-            ],
-            ["kind", "id", "n"],
-        )
+def _pack(*arrays: np.ndarray) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
-    sums = docs.select("doc_id", "text").mapInArrow(run, "kind byte, id long, n long").groupBy("kind", "id").agg(F.sum("n").alias("n"))
-    every = sums.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    # At most 1 / HOT words can have that share of all tokens.
-    rows = sums.where((F.col("kind") == 0) | ((F.col("kind") == 1) & (F.col("n") >= HOT * every))).toPandas()
-    totals = np.zeros(CONTEXTS, np.int64)
-    own = rows[rows.kind == 0]
-    totals[own.id.to_numpy()] = own.n.to_numpy()
-    hot = np.sort(rows[rows.kind == 1].id.to_numpy().astype(np.int64).view(np.uint64))
-    return totals, int(totals.sum()), int(every) * _TOKEN_BYTES, hot
 
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
 
-def _is_in(sorted_words: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_words):
-        return np.zeros(len(words), bool), np.zeros(len(words), np.int64)
-    at = np.minimum(np.searchsorted(sorted_words, words), len(sorted_words) - 1)
-    return sorted_words[at] == words, at
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_TYPES)], _NAMES)
 
-_DEALT = "place int, docs binary, sizes binary, train binary, words binary, contexts binary, counts binary, part long"
 
+def _grouped(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[tuple, list[dict]]]:
+    """The rows of each group in a partition."""
+    held: dict[tuple, list[dict]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            held.setdefault(tuple(r[n] for n in names), []).append(r)
+    for key in sorted(held):
+        yield key, held.pop(key)
 
-def _deal(docs: DataFrame, hot: np.ndarray, places: int) -> DataFrame:
-    """Tokens by place: for each slice of texts one row a place, with the tokens of each text together."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+def _shard(keys: np.ndarray) -> np.ndarray:
+    return (mix64(keys ^ np.uint64(0x5A5A)) % np.uint64(SHARDS)).astype(np.int64)
+
+
+def _keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in the order of shards, and the place of each of x among them."""
+    keys, at = np.unique(x, return_inverse=True)
+    order = np.argsort(_shard(keys), kind="stable")
+    back = np.empty(len(keys), np.int32)
+    back[order] = np.arange(len(keys), dtype=np.int32)
+    return keys[order], back[at]
+
+
+def _asked(place: int, kind: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
+    """What a place adds to the sums of its keys, by shard."""
+    cuts = np.searchsorted(_shard(keys), np.arange(SHARDS + 1))
+    for s in range(SHARDS):
+        a, b = cuts[s], cuts[s + 1]
+        if b > a:
+            yield place, kind, s, 0, 0, _pack(keys[a:b], *[v[a:b] for v in values])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The true sums of a shard's keys, to each place that asked."""
+    for (kind, shard), rows in _grouped(batches, "kind", "shard"):
+        asked = [_unpack(r["blob"]) for r in rows]
+        keys, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        sums = [_sums(at, np.concatenate(v), len(keys))[at] for v in zip(*[a[1:] for a in asked], strict=True)]
+        first = 0
+        for r, a in zip(rows, asked, strict=True):
+            past = first + len(a[0])
+            yield _batch([(r["place"], kind, shard, 0, 0, _pack(*[x[first:past] for x in sums]))])
+            first = past
+
+
+def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each shard that occur in training texts."""
+    for (shard,), rows in _grouped(batches, "shard"):
+        asked = [_unpack(r["blob"]) for r in rows]
+        n = len(np.unique(np.concatenate([keys[c > 0] for keys, c, _ in asked])))
+        yield _batch([(0, BY_WORD, shard, n, 0, b"")])
+
+
+def _deal_pairs(docs: DataFrame, grid: tuple[int, int]) -> DataFrame:
+    """Distinct pairs of each slice of texts with their training counts, by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words = shared.value
-        counts = np.zeros((len(hot_words), CONTEXTS), np.int64)
+        for batch in batches:
+            for part in slices(batch, "text"):
+                words, contexts, bounds = tokens_of(part.column(1))
+                learned = np.repeat(~_held_out(part.column(0).to_pylist()), np.diff(bounds))
+                pairs, first, at = np.unique(pairs_of(words, contexts), return_index=True, return_inverse=True)
+                n = np.bincount(at, learned, minlength=len(pairs)).astype(np.int32)
+                place = _place(words[first], contexts[first], grid)
+                order = np.argsort(place, kind="stable")
+                cuts = np.searchsorted(place[order], np.arange(grid[0] * grid[1] + 1))
+                w, k, n = words[first[order]], contexts[first[order]], n[order]
+                yield _batch([(p, STATE, 0, 0, 0, _pack(*_short(w[a:b]), *_short(k[a:b]), n[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+
+    return docs.select("doc_id", "text").mapInArrow(run, _ROWS)
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of each place with their counts and first tables, and what is asked of the shards."""
+    for (place,), rows in _grouped(batches, "place"):
+        dealt = [(v[w], u[k], n) for v, w, u, k, n in (_unpack(r["blob"]) for r in rows)]
+        words, contexts, n = (np.concatenate(x) for x in zip(*dealt, strict=True))
+        u, k = _keys(contexts)
+        v, w = _keys(words)
+        # By context and then word, which packs well.
+        pair, at = np.unique(k.astype(np.int64) << 32 | w, return_inverse=True)
+        c = _sums(at, n, len(pair))
+        k, w = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+        t = _first_tables(c)
+        none = np.zeros(0, np.int64)
+        yield _batch([(place, STATE, 0, int(t.sum()), int(c.sum()), _pack(u, v, k, w, c.astype(np.int32), t.astype(np.int32), none, none, np.zeros(0, np.float32)))])
+        for kind, keys, x in ((BY_CONTEXT, u, k), (BY_WORD, v, w)):
+            for row in _asked(place, kind, keys, _sums(x, c, len(keys)), _sums(x, t, len(keys))):
+                yield _batch([row])
+
+
+def _step(sweep: int, tables_all: int, vocabulary: int):
+    """Take the sums of the tables drawn last; add the probabilities of a sample; draw anew, or end."""
 
-        def rows(made: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int32(), *[pa.binary()] * 6, pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)], ["place", "docs", "sizes", "train", "words", "contexts", "counts", "part"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (place,), rows in _grouped(batches, "place"):
+            u, v, k, w, c, t, customers, count, p = next(_unpack(r["blob"]) for r in rows if r["kind"] == STATE)
+            c, t = c.astype(np.int64), t.astype(np.int64)
+            sums = {}
+            for kind in (BY_CONTEXT, BY_WORD):
+                answers = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["shard"])
+                sums[kind] = [np.concatenate(x) for x in zip(*[_unpack(r["blob"]) for r in answers], strict=True)]
+            if sweep == 0:
+                customers, count = sums[BY_CONTEXT][0], sums[BY_WORD][0]
+            tables, dish = sums[BY_CONTEXT][-1][k], sums[BY_WORD][-1][w]
+            if sweep > BURN_IN:
+                more = _probability(c, t, customers[k], tables, dish, tables_all, vocabulary)
+                p = p + more if len(p) else more
+            pairs = pairs_of(v[w], u[k])
+            if sweep < BURN_IN + SAMPLES:
+                t = _sweep(pairs, c, t, tables, dish, tables_all, vocabulary, sweep)
+                yield _batch([(place, STATE, 0, int(t.sum()), 0, _pack(u, v, k, w, c.astype(np.int32), t.astype(np.int32), customers, count, p.astype(np.float32)))])
+                for kind, keys, x in ((BY_CONTEXT, u, k), (BY_WORD, v, w)):
+                    for row in _asked(place, kind, keys, _sums(x, t, len(keys))):
+                        yield _batch([row])
+            else:
+                order = np.argsort(pairs)
+                yield _batch([(place, STATE, 0, 0, 0, _pack(pairs[order], np.log10(p / SAMPLES)[order].astype(np.float32), count[w][order]))])
+
+    return run
+
+
+def _deal_texts(docs: DataFrame, grid: tuple[int, int]) -> DataFrame:
+    """Tokens by place: for each slice of texts one row a place, with the tokens of each text together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, context, bounds = tokens_of(part.column(1))
-                learned = ~_held_out(part.column(0).to_pylist())
+                words, contexts, bounds = tokens_of(part.column(1))
                 keys = np.asarray(part.column(2))
-                text = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                common, at = _is_in(hot_words, tokens)
-                np.add.at(counts, (at[common & learned[text]], context[common & learned[text]]), 1)
-                word, ctx, text = tokens[~common], context[~common], text[~common]
-                place = (mix64(word) % np.uint64(places)).astype(np.int64)
+                pairs = pairs_of(words, contexts)
+                place = _place(words, contexts, grid)
                 order = np.argsort(place, kind="stable")
-                word, ctx, text, place = word[order], ctx[order], text[order], place[order]
-                cuts = np.searchsorted(place, np.arange(places + 1))
+                text, pairs = np.repeat(np.arange(part.num_rows), np.diff(bounds))[order], pairs[order]
+                cuts = np.searchsorted(place[order], np.arange(grid[0] * grid[1] + 1))
                 made = []
-                for p in range(places):
-                    a, b = cuts[p], cuts[p + 1]
+                for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                     if b > a:
                         of, sizes = np.unique(text[a:b], return_counts=True)
-                        made.append((p, keys[of].tobytes(), sizes.astype(np.int32).tobytes(), learned[of].tobytes(), word[a:b].tobytes(), ctx[a:b].tobytes(), b"", int(keys[0])))
-                if made:
-                    yield rows(made)
-        w, k = np.nonzero(counts)
-        if len(w):
-            place = (mix64(hot_words[w]) % np.uint64(places)).astype(np.int64)
-            yield rows([(int(p), b"", b"", b"", hot_words[w[m]].tobytes(), k[m].astype(np.uint16).tobytes(), counts[w[m], k[m]].tobytes(), 0) for p in np.unique(place) for m in [place == p]])
+                        made.append((p, TEXTS, 0, int(keys[0]), 0, _pack(keys[of], sizes.astype(np.int32), *_short(pairs[a:b]))))
+                yield _batch(made)
 
-    return docs.select("doc_id", "text", "__key").mapInArrow(run, _DEALT)
+    return docs.select("doc_id", "text", "__key").mapInArrow(run, _ROWS)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """The rows of each place in a partition."""
-    held: dict[int, list[dict]] = {}
-    for batch in batches:
-        for r in batch.to_pylist():
-            held.setdefault(r["place"], []).append(r)
-    for place in sorted(held):
-        yield place, held.pop(place)
+def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each dealt row the sums of its texts over their tokens here."""
+    for _, rows in _grouped(batches, "place"):
+        state = [_unpack(r["blob"]) for r in rows if r["kind"] == STATE]
+        for r in rows:
+            if r["kind"] == TEXTS:
+                docs, sizes, own, at = _unpack(r["blob"])
+                pairs, log_p, count = state[0]
+                found = np.searchsorted(pairs, own)[at]
+                cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                c = count[found]
+                sums = [np.add.reduceat(x, cuts) for x in (log_p[found].astype(np.float64), np.log10(c + 0.5), (c > 0).astype(np.int64))]
+                yield _batch([(0, TEXTS, 0, r["n"], 0, _pack(docs, *sums))])
 
 
-def _seat(place: int, rows: list[dict], totals: np.ndarray, total: int) -> Seating:
-    words, contexts, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
-    for r in rows:
-        w, k = np.frombuffer(r["words"], np.uint64), np.frombuffer(r["contexts"], np.uint16)
-        if r["counts"]:
-            words.append(w), contexts.append(k), counts.append(np.frombuffer(r["counts"], np.int64))
-        else:
-            train = np.repeat(np.frombuffer(r["train"], bool), np.frombuffer(r["sizes"], np.int32))
-            words.append(w[train]), contexts.append(k[train]), counts.append(np.ones(int(train.sum()), np.int32))
-    return Seating(np.concatenate(words), np.concatenate(contexts), np.concatenate(counts), totals, total, place)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of texts whose places meet here."""
+    for _, rows in _grouped(batches, "n"):
+        docs, *sums = (np.concatenate(x) for x in zip(*[_unpack(r["blob"]) for r in rows], strict=True))
+        keys, at = np.unique(docs, return_inverse=True)
+        log_p, log_c, known = (np.bincount(at, x, minlength=len(keys)) for x in sums)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(log_p), pa.array(log_c), pa.array(np.rint(known).astype(np.int64))], ["key", "log_p", "log_c", "known"])
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -308,110 +497,50 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     The fold that is held out is ``crc32(doc_id as text) mod 5 = 1``.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("__key"))
-    totals, total, size, hot = _survey(docs)
-    places = max(4, math.ceil(size / PLACE_BYTES / 2))
-    dealt = checkpointed(_deal(docs, hot, places).repartition(places, "place"))
-
-    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for place, rows in _places(batches):
-            s = _seat(place, rows, totals, total)
-            sums = s.table_sums()
-            n, k = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([n, [-1]]).astype(np.int32)), pa.array(np.concatenate([k, [0]]).astype(np.int32)), pa.array(np.concatenate([sums[n, k], [float(len(s.words))]]))],
-                ["sample", "context", "n"],
-            )
-
-    tables, vocabulary = np.zeros((SAMPLES, CONTEXTS)), 0
-    for r in dealt.mapInArrow(seat, "sample int, context int, n double").groupBy("sample", "context").agg(F.sum("n").alias("n")).toLocalIterator():
-        if r.sample < 0:
-            vocabulary = int(r.n)
-        else:
-            tables[r.sample, r.context] = r.n
-    hot_shared = spark.sparkContext.broadcast(hot)
-
-    def packed(part: int, docs: bytes, log_p: np.ndarray, log_c: np.ndarray, known: np.ndarray, grid: bytes | None) -> pa.RecordBatch:
-        columns = [pa.array([x], pa.binary()) for x in (docs, log_p.tobytes(), log_c.tobytes(), known.tobytes(), grid)]
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *columns], ["part", "docs", "log_p", "log_c", "known", "grid"])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each dealt row the sums of its texts over their tokens here; of each hot word its probabilities."""
-        for place, rows in _places(batches):
-            s = _seat(place, rows, totals, total)
-            for r in rows:
-                if not r["counts"]:
-                    sizes = np.frombuffer(r["sizes"], np.int32)
-                    log_p, c, known = s.score(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["contexts"], np.uint16).astype(np.int64), tables, vocabulary)
-                    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                    sums = [np.add.reduceat(x, at) for x in (log_p, np.log10(c + 0.5), known.astype(np.int64))]
-                    yield packed(r["part"], r["docs"], *sums, None)
-            own = hot_shared.value[(mix64(hot_shared.value) % np.uint64(places)).astype(np.int64) == place]
-            if len(own):
-                grid = np.tile(np.arange(CONTEXTS), len(own))
-                log_p, c, _ = s.score(np.repeat(own, CONTEXTS), grid, tables, vocabulary)
-                first = np.arange(len(own)) * CONTEXTS
-                for word, i in zip(own, first.tolist(), strict=True):
-                    yield packed(int(word.view(np.int64)), word.tobytes(), np.zeros(1), np.log10(c[i : i + 1] + 0.5), (c[i : i + 1] > 0).astype(np.int64), log_p[i : i + CONTEXTS].astype(np.float32).tobytes())
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sums of texts whose places meet here; hot words go through."""
-        held: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0)], [np.zeros(0, np.int64)]]
-        for batch in batches:
-            for r in batch.to_pylist():
-                own = [np.frombuffer(r[n], t) for n, t in (("docs", np.int64), ("log_p", np.float64), ("log_c", np.float64), ("known", np.int64))]
-                if r["grid"] is None:
-                    for h, x in zip(held, own, strict=True):
-                        h.append(x)
-                else:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array([r["grid"]], pa.binary())], _PARTS)
-        keys, at = np.unique(np.concatenate(held[0]), return_inverse=True)
-        if len(keys):
-            log_p, log_c, known = (np.bincount(at, np.concatenate(h), minlength=len(keys)) for h in held[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(log_p), pa.array(log_c), pa.array(np.rint(known).astype(np.int64)), pa.nulls(len(keys), pa.binary())], _PARTS)
-
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    side = max(2, math.ceil(math.sqrt(size / PLACE_BYTES)))
+    grid, places = (side, side), side * side
+
+    now = checkpointed(_deal_pairs(docs, grid).repartition(places, "place").mapInArrow(_open, _ROWS))
+    release(docs.sparkSession)
+    vocabulary = now.where(F.col("kind") == BY_WORD).repartition(places, "shard").mapInArrow(_vocabulary, _ROWS).agg(F.sum("n")).first()[0] or 0
+    total = now.where(F.col("kind") == STATE).agg(F.sum("tokens")).first()[0] or 0
+    for sweep in range(BURN_IN + SAMPLES + 1):
+        state = now.where(F.col("kind") == STATE)
+        tables_all = state.agg(F.sum("n")).first()[0] or 0
+        answers = now.where(F.col("kind") != STATE).repartition(places, "kind", "shard").mapInArrow(_answer, _ROWS)
+        now = checkpointed(state.union(answers).repartition(places, "place").mapInArrow(_step(sweep, tables_all, vocabulary), _ROWS))
+        # The sweep before is needed no more, nor are its shuffle files.
+        del state, answers
+        release(docs.sparkSession)
+
+    scored = now.union(_deal_texts(docs, grid)).repartition(places, "place").mapInArrow(_score, _ROWS)
     # A slice of texts has one row a place here, however many texts it has; its rows meet in one task.
-    parts = dealt.mapInArrow(score, "part long, docs binary, log_p binary, log_c binary, known binary, grid binary").repartition("part").mapInArrow(merge, "key long, log_p double, log_c double, known long, grid binary")
-    sums = checkpointed(parts.groupBy("key", "grid").agg(F.sum("log_p").alias("log_p"), F.sum("log_c").alias("log_c"), F.sum("known").alias("known")))
-
-    # At most 1 / HOT words with CONTEXTS numbers each, whatever the input.
-    grid = np.zeros((len(hot), CONTEXTS), np.float32)
-    hot_c, hot_known = np.zeros(len(hot)), np.zeros(len(hot), np.int64)
-    for r in sums.where("grid is not null").toLocalIterator():
-        i = int(np.searchsorted(hot, np.array([r.key], np.int64).view(np.uint64))[0])
-        grid[i], hot_c[i], hot_known[i] = np.frombuffer(r.grid, np.float32), r.log_c, r.known
-    table = spark.sparkContext.broadcast((grid, hot_c, hot_known))
-
-    def add_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_grid, log_c, known = table.value
+    parts = scored.repartition("n").mapInArrow(_merge, "key long, log_p double, log_c double, known long")
+    rest = checkpointed(parts.groupBy("key").agg(F.sum("log_p").alias("log_p"), F.sum("log_c").alias("log_c"), F.sum("known").alias("known")))
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                tokens, context, bounds = tokens_of(part.column(1))
-                common, at = _is_in(hot_shared.value, tokens)
-                text_no = np.repeat(np.arange(part.num_rows), np.diff(bounds))[common]
-                sums = [np.bincount(text_no, x, minlength=part.num_rows) for x in ((log_grid[at[common], context[common]], log_c[at[common]], known[at[common]]) if len(known) else (np.zeros(0),) * 3)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(_held_out(part.column(0).to_pylist())), pa.array(np.diff(bounds)), part.column(2), pa.array(sums[0].astype(np.float64)), pa.array(sums[1].astype(np.float64)), pa.array(sums[2].astype(np.int64))],
-                    ["doc_id", "held_out", "n_tokens", "key", "hot_p", "hot_c", "hot_known"],
-                )
-
-    own = docs.select("doc_id", "text", "__key").mapInArrow(add_hot, "doc_id long, held_out boolean, n_tokens long, key long, hot_p double, hot_c double, hot_known long")
+                _, bounds = word_hashes(part.column(1))
+                ids = part.column(0)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(_held_out(ids.to_pylist())), pa.array(np.diff(bounds) + 1), part.column(2)], ["doc_id", "held_out", "n_tokens", "key"])
+
+    own = docs.select("doc_id", "text", "__key").mapInArrow(sizes, "doc_id long, held_out boolean, n_tokens long, key long")
     # Rows equal in id and text were dealt under one key: their sums are shared out again.
     times = own.groupBy("key").agg(F.count("*").alias("times"))
-    rest = sums.where("grid is null").drop("grid")
-    zero = lambda c: F.coalesce(F.col(c) / F.col("times"), F.lit(0.0))
     norm = math.log10(total + 0.5 * (vocabulary + 1))
     return (
         own.join(times, "key")
-        .join(rest, "key", "left")
+        .join(rest, "key")
         .select(
             "doc_id",
             "held_out",
             "n_tokens",
-            (F.col("hot_known") + F.round(zero("known")).cast("long")).alias("n_known"),
+            F.round(F.col("known") / F.col("times")).cast("long").alias("n_known"),
             F.lit(total).cast("long").alias("train_tokens"),
-            (F.col("hot_c") + zero("log_c") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-            (F.col("hot_p") + zero("log_p")).alias("score"),
+            (F.col("log_c") / F.col("times") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
+            (F.col("log_p") / F.col("times")).alias("score"),
         )
     )

@@ -67,3 +67,29 @@ def test_stirling_numbers_and_table_counts():
     s = P.Seating(words, np.zeros(len(words), np.int64), np.ones(len(words), np.int64), np.bincount([0], [len(words)], minlength=P.CONTEXTS), len(words), 5)
     for t in s.samples:
         assert (t >= 1).all() and (t <= s.c).all()
+
+
+def test_scores_equal_one_place_with_every_context(spark, planted):
+    # Every context has its own restaurant, and all sums are the true ones: as in one place that has the whole corpus.
+    rows = [(r.doc_id, r.text) for r in planted.collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    words = {t: int(h) for _, x in rows for t, h in zip(tokens(x), P.tokens_of(P.pa.array([x]))[0], strict=True)}
+    back = {t: n for n, t in enumerate(["", *words], start=0)}
+    pairs = [(words[t], back[k]) for i, x in rows if not held[i] for k, t in zip(["", *tokens(x)], tokens(x), strict=False)]
+    w, k = np.array([a for a, _ in pairs], np.uint64), np.array([b for _, b in pairs])
+    c = Counter(pairs)
+    totals = Counter(b for _, b in pairs)
+    got = {r.doc_id: r.score for r in P.score_documents(planted).collect()}
+    one = P.Seating(w, k, np.ones(len(w), np.int64), np.bincount(k, minlength=len(back)), len(w), 0)
+    assert len(totals) > 400 and len(one.key) == len(c)
+    want = 0.0
+    for _, x in rows:
+        t = tokens(x)
+        want += one.score(np.array([words[y] for y in t], np.uint64), np.array([back[y] for y in ["", *t[:-1]]]), one.table_sums(), len(one.words))[0].sum()
+    # Random numbers differ, the model doesn't.
+    assert math.isclose(want, sum(got.values()), rel_tol=0.01)
+
+
+def test_every_word_is_a_context_of_its_own():
+    _, contexts, _ = P.tokens_of(P.pa.array([" ".join(f"w{i}" for i in range(5000))]))
+    assert len(np.unique(contexts)) == 5001
