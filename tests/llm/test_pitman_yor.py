@@ -93,3 +93,23 @@ def test_scores_equal_one_place_with_every_context(spark, planted):
 def test_every_word_is_a_context_of_its_own():
     _, contexts, _ = P.tokens_of(P.pa.array([" ".join(f"w{i}" for i in range(5000))]))
     assert len(np.unique(contexts)) == 5001
+
+
+def test_scores_do_not_depend_on_the_number_of_places(spark, planted, monkeypatch):
+    once = {r.doc_id: r.score for r in P.score_documents(planted).collect()}
+    monkeypatch.setattr(P, "PLACE_BYTES", 2000)
+    again = {r.doc_id: r.score for r in P.score_documents(planted).collect()}
+    assert once.keys() == again.keys() and all(math.isclose(once[i], again[i], rel_tol=1e-9) for i in once)
+
+
+def test_tables_of_large_dishes_are_drawn_from_their_own_distribution(monkeypatch):
+    c = 700
+    exact = P.log_stirling(c, P.DISCOUNT)[c]
+    t = np.array([1, 2, 9, 80, 300, 600])
+    assert np.allclose(P.log_stirling_large(np.full(6, c), t), exact[t], atol=0.01)
+    args = (np.full(800, 300.0), np.full(800, 40.0), 1e4, 1e-3, np.random.default_rng(2).random(800))
+    small = P.draw_tables(np.full(800, c), *args)
+    monkeypatch.setattr(P, "EXACT", 100)
+    monkeypatch.setattr(P, "_STIRLING", [])
+    large = P.draw_tables(np.full(800, c), *args)
+    assert (np.abs(small - large) <= 1).all()
