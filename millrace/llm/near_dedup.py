@@ -134,8 +134,8 @@ def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.cast(pa.int64()).fill_null(0))
 
 
-def sketch_documents(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """``doc_id, n, k1, k2, thin, bands, odd`` of each row; no text is kept."""
+def sketch_documents(docs: DataFrame, doc_id: str, text: str, k: int, keyed: bool = False) -> DataFrame:
+    """``doc_id, n, k1, k2, thin, bands, odd`` of each row, ``keyed`` with its ``r1, r2``; no text is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,12 +154,19 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFra
                         pa.array(_thin(keys[:, 0].copy(), _ids(part.column(0)))),
                         pa.ListArray.from_arrays(step(BANDS), pa.array(bands.ravel())),
                         pa.ListArray.from_arrays(step(_SKETCH_LONGS), pa.array(odd.ravel())),
+                        *part.columns[2:],
                     ],
-                    ["doc_id", "n", "k1", "k2", "thin", "bands", "odd"],
+                    ["doc_id", "n", "k1", "k2", "thin", "bands", "odd", *part.schema.names[2:]],
                 )
 
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, thin long, bands array<long>, odd array<long>")
+    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(_row_key(doc_id, text) if keyed else []))
+    return chosen.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, thin long, bands array<long>, odd array<long>" + ", r1 long, r2 long" * keyed)
+
+
+def _row_key(doc_id: str, text: str) -> list[Column]:
+    """128 bits that name an id with its text."""
+    i = F.col(doc_id).cast("long")
+    return [F.xxhash64(i, F.col(text)).alias("r1"), F.xxhash64(F.lit(1), F.col(text), i).alias("r2")]
 
 
 def _full_sets(docs: DataFrame, doc_id: str, text: str, k: int, nodes: DataFrame) -> DataFrame:
@@ -253,9 +260,9 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def similarity_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)) -> tuple[DataFrame, DataFrame, DataFrame]:
+def similarity_links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (80, 100), keyed: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All rows with their class keys; the classes (``node``); links between classes that join all components."""
-    rows = checkpointed(sketch_documents(docs, doc_id, text, words))
+    rows = checkpointed(sketch_documents(docs, doc_id, text, words, keyed))
     classes = (
         rows.where("n > 0")
         .groupBy("k1", "k2")
@@ -316,6 +323,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """Rows of ``docs`` whose id is the least of its component."""
-    gone = near_duplicates(docs, doc_id, text, words, share).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    """One row of ``docs`` for each component: the one with the least id.
+
+    Null ids come last, and equal ids go by a hash of id and text; of rows equal in both any one stays. Rows
+    without words are in no component and all stay.
+    """
+    rows, nodes, links = similarity_links(docs, doc_id, text, words, share, keyed=True)
+    named = nodes.select("node", "k1", "k2").join(components(links), "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("label"))
+    rows = rows.where("n > 0").select("doc_id", "k1", "k2", "r1", "r2")
+    # The first row of each class, then of each component.
+    by_class = rows.groupBy("k1", "k2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r1", "r2")).alias("first")).join(named, ["k1", "k2"])
+    best = by_class.groupBy("label").agg(F.min("first").alias("best"))
+    of_class = by_class.join(best, "label").select("k1", "k2", F.col("best.r1").alias("b1"), F.col("best.r2").alias("b2"))
+    keys = rows.join(of_class, ["k1", "k2"]).groupBy("r1", "r2").agg(F.first((F.col("r1") == F.col("b1")) & (F.col("r2") == F.col("b2"))).alias("stays"), F.count("*").alias("times"))
+    special = checkpointed(keys.where("not stays or times > 1").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("stays").alias("__stays")))
+    keyed = docs.select("*", *[k.alias(f"__{n}") for n, k in zip(("r1", "r2"), _row_key(doc_id, text), strict=True)])
+    once = keyed.join(special, ["__r1", "__r2"], "left_anti").select(*docs.columns)
+    repeated = keyed.join(special.where("__stays"), ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]).select(*docs.columns)
+    return once.union(repeated)

@@ -103,3 +103,22 @@ def test_components_of_long_paths(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r.node: r.label for r in N.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_one_row_of_each_component_stays(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = lambda n: " ".join([*base[:-1], f"x{n}"])
+    other = " ".join(f"o{i}" for i in range(40))
+    alone = " ".join(f"a{i}" for i in range(40))
+    blank = " ".join(f"b{i}" for i in range(40))
+    rows = [
+        (1, near(0)), (None, near(1)),  # a null id loses
+        (None, alone),  # and takes no other null id with it
+        (2, near(2)), (2, other),  # of one id, only the text that loses goes
+        (3, blank), (3, blank), (3, blank),  # repeated rows
+        (None, f"{blank} more"), (None, " ".join(f"n{i}" for i in range(40))), (None, " ".join(f"n{i}" for i in range(40))),
+        (4, ""), (4, ""), (None, None),
+    ]
+    got = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
+    want = [(1, near(0)), (None, alone), (2, other), (3, blank), (None, rows[-4][1]), (4, ""), (4, ""), (None, None)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
