@@ -90,7 +90,8 @@ class JsonLines(Source):
 class TypedFiles(Source):
     """Parquet, ORC, CSV or JDBC tables: structured streams, read on by a cursor column.
 
-    The cursor filter reaches the scan. ``options`` go to Spark's reader; a CSV needs a schema.
+    The cursor filter reaches the scan. ``options`` go to Spark's reader; a CSV needs a schema. A row without a
+    cursor has no place among loads, so a table with one is refused at every read.
     """
 
     def __init__(self, tables: dict[str, str], format: str = "parquet", keys: dict[str, tuple[str, ...]] | None = None, cursors: dict[str, str] | None = None, schemas: dict[str, str] | None = None, **options: str):
@@ -115,8 +116,13 @@ class TypedFiles(Source):
         if stream.cursor_field is None:
             yield Batch(df, None)
             return
-        df = since_cursor(df, stream.cursor_field, since)
-        top = df.agg(F.max(stream.cursor_field).cast("string")).first()[0]
+        new = since_cursor(df, stream.cursor_field, since)
+        without = F.col(stream.cursor_field).isNull()
+        seen = new if since is None else df.where(without | (F.col(stream.cursor_field) > F.lit(since).cast(df.schema[stream.cursor_field].dataType)))
+        top, lost = seen.agg(F.max(stream.cursor_field).cast("string"), F.count_if(without)).first()
+        if lost:
+            raise SourceError(f"{lost} rows of {stream.name} have no {stream.cursor_field}: they can't be read by cursor")
+        df = new
         upto = df.where(F.col(stream.cursor_field) <= F.lit(top).cast(df.schema[stream.cursor_field].dataType)) if top is not None else df.limit(0)
         yield Batch(upto, top if top is not None else since)
 

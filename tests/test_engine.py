@@ -194,6 +194,19 @@ def test_typed_files_by_cursor(spark, tmp_path):
     assert run().rows_written == {"t": 0}
 
 
+def test_typed_files_refuse_rows_without_a_cursor(spark, tmp_path):
+    run = lambda n: Pipeline("p", TypedFiles({"t": str(tmp_path / n)}, cursors={"t": "id"}), SnapshotStore(str(tmp_path / f"s{n}"))).run(spark)
+    none = frame(spark, 3).selectExpr("cast(null AS long) AS id", "name")
+    none.write.parquet(str(tmp_path / "all"))
+    frame(spark, 10).union(none).write.parquet(str(tmp_path / "some"))
+    frame(spark, 10).write.parquet(str(tmp_path / "late"))
+    assert run("late").rows_written == {"t": 10}
+    none.write.mode("append").parquet(str(tmp_path / "late"))
+    for name in ("all", "some", "late"):
+        with pytest.raises(Exception, match="3 rows of t have no id"):
+            run(name)
+
+
 def test_validation():
     cap = Capabilities()
     ok = validate([StreamSpec("A b"), StreamSpec("c")], {}, cap)
