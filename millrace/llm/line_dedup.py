@@ -5,14 +5,17 @@ Lines are hashed (trimmed, 128 bits). From each line on, the shortest run of lin
 last). Equal runs of ``min_words`` words begin with equal windows, so they are certain to share a
 fingerprint; a line that long is its own window.
 
-Fingerprints found more than once name the documents that take part. Among their lines, a line is
-*repeated* if it has been seen earlier, in the order of document id and line, and a pair of neighbours if
-the pair has. From the fingerprints, matches extend both ways over repeated neighbours; what comes out as a
-run of at least ``min_words`` words is deleted. First occurrences always stay.
+Fingerprints found more than once name the documents that take part. What is deleted there is every line of a
+run of at least ``min_words`` words that stands, line for line, at one earlier place, in the order of document
+id and line. First occurrences always stay.
 
-No list of occurrences is ever made: each line is held against the first occurrence of its hash, which a
-partial aggregation finds, so a line that a third of all documents share costs one row a task there, and
-the join back is one to many with the many side split by adaptive execution.
+A match with one place is made of windows: the shortest runs of ``min_words`` words from a line on, and those
+up to a line, cover every longer run and lie in it. So a line goes if such a window around it was seen earlier
+as a whole, which is the match extended both ways as far as it reaches.
+
+No list of occurrences is ever made: each window is held against the first occurrence of its hash (128 bits of
+its lines), which a partial aggregation finds, so a passage that a third of all documents share costs one row a
+task there, and the join back is one to many with the many side split by adaptive execution.
 
 Defined cases: null texts stay null and have no lines; lines of white space are kept and belong to no run;
 ties of equal ids are ordered by a hash of the row; rows equal in id and text count as one document and are
@@ -84,21 +87,49 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     taking_part = marks.join(shared, _LINE).select(*_ROW).distinct()
     lines = checkpointed(lines.join(taking_part, _ROW, "left_semi"))
 
-    place = F.struct("doc", *_ROW, "pos")
+    windows = checkpointed(_windows(lines, min_words))
+    first = windows.groupBy("kind", "wh", "wg").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = windows.join(first, ["kind", "wh", "wg"]).where(F.col("first") < F.col("place"))
+    edges = again.groupBy(*_ROW, F.col("place.pos").alias("pos")).agg(F.max(F.when(F.col("kind") == 0, F.col("edge"))).alias("to"), F.min(F.when(F.col("kind") == 1, F.col("edge"))).alias("since"))
     within = Window.partitionBy(*_ROW).orderBy("pos")
-    joined = lines.select("*", place.alias("place"), F.lead("h").over(within).alias("h2"), F.lead("g").over(within).alias("g2"))
-    first_line = lines.groupBy(*_LINE).agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = joined.where("h2 is not null")
-    first_pair = pairs.groupBy("h", "g", "h2", "g2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-
-    again = lines.select("*", place.alias("place")).join(first_line, _LINE).where(F.col("first") < F.col("place")).select(*_ROW, "pos", "line", "words")
-    with_next = pairs.join(first_pair, ["h", "g", "h2", "g2"]).where(F.col("first") < F.col("place")).select(*_ROW, (F.col("pos") + 1).alias("pos"), F.lit(True).alias("follows"))
-    runs = (
-        again.join(with_next, [*_ROW, "pos"], "left")
-        .select(*_ROW, "pos", "line", "words", F.sum(F.when(F.col("follows"), 0).otherwise(1)).over(within).alias("run"))
-        .select(*_ROW, "line", "words", F.sum("words").over(Window.partitionBy(*_ROW, "run")).alias("run_words"))
+    reached = lines.join(edges, [*_ROW, "pos"], "left").select(
+        *_ROW,
+        "pos",
+        "line",
+        "words",
+        F.max("to").over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("to"),
+        F.min("since").over(Window.partitionBy(*_ROW).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)).alias("since"),
+    )
+    return reached.where((F.col("to") >= F.col("pos")) | (F.col("since") <= F.col("pos"))).select(*_ROW, "line", "words")
+
+
+def _windows(lines: DataFrame, min_words: int) -> DataFrame:
+    """The shortest runs of ``min_words`` words from each line on (kind 0) and up to it (1): hash, place, other edge."""
+    counted = lines.select(
+        *_ROW,
+        *_LINE,
+        "doc",
+        "pos",
+        "words",
+        F.sum("words").over(Window.partitionBy(*_ROW).orderBy("pos")).alias("past"),
+        F.sum("words").over(Window.partitionBy(*_ROW)).alias("total"),
+    ).withColumn("before", F.col("past") - F.col("words"))
+    on = Window.partitionBy(*_ROW).orderBy("before").rangeBetween(0, min_words - 1)
+    upto = Window.partitionBy(*_ROW).orderBy("past").rangeBetween(1 - min_words, 0)
+    listed = counted.select(
+        *_ROW,
+        "pos",
+        F.struct("doc", *_ROW, "pos").alias("place"),
+        (F.col("total") - F.col("before") >= min_words).alias("on"),
+        *[F.xxhash64(F.collect_list(n).over(on)).alias(f"{n}0") for n in _LINE],
+        (F.col("pos") + F.count("*").over(on) - 1).alias("to"),
+        (F.col("past") >= min_words).alias("upto"),
+        *[F.xxhash64(F.collect_list(n).over(upto)).alias(f"{n}1") for n in _LINE],
+        (F.col("pos") - F.count("*").over(upto) + 1).alias("since"),
     )
-    return runs.where(F.col("run_words") >= min_words).select(*_ROW, "line", "words")
+    side = lambda kind, whole, edge: F.struct(F.lit(kind).alias("kind"), F.col(f"h{kind}").alias("wh"), F.col(f"g{kind}").alias("wg"), F.col(edge).cast("int").alias("edge"), F.col(whole).alias("whole"))
+    both = F.array(side(0, "on", "to"), side(1, "upto", "since"))
+    return listed.select(*_ROW, "place", F.explode(both).alias("w")).where("w.whole").select(*_ROW, "place", "w.kind", "w.wh", "w.wg", "w.edge")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -101,3 +101,42 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert L.dedup_lines(no_documents).count() == 0
     twice = L.dedup_lines(rows.withColumnRenamed("lang", "removed_words2"))
     assert twice.columns.count("removed_lines") == 1
+
+
+def true_repeats(rows, least):
+    """Texts without the runs that stand at one earlier place (rows: distinct ids, no nulls)."""
+    docs = {i: [(n, x.strip(SPACE)) for n, x in enumerate(t.split("\n")) if x.strip(SPACE)] for i, t in sorted(rows)}
+    places = [(i, p) for i, lines in docs.items() for p in range(len(lines))]
+    out = {}
+    for i, t in rows:
+        gone = set()
+        for p in range(len(docs[i])):
+            for j, q in places:
+                if (j, q) >= (i, p):
+                    break
+                n = 0
+                while p + n < len(docs[i]) and q + n < len(docs[j]) and docs[i][p + n][1] == docs[j][q + n][1]:
+                    n += 1
+                if sum(len(x.split()) for _, x in docs[i][p : p + n]) >= least:
+                    gone.update(m for m, _ in docs[i][p : p + n])
+        out[i] = "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)
+    return out
+
+
+def test_a_run_from_several_sources_stays(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    long = " ".join(f"l{i}" for i in range(55))
+    rows = [(1, f"{a}\n{b}\n{long}"), (2, f"{b}\n{c}"), (3, f"{a}\n{b}\n{c}\nown\n{long}")]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: f"{a}\n{b}\n{c}\nown"}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_true_repeats(spark, seed):
+    # Few lines in many orders: runs that are stitched from several places are common.
+    r = random.Random(seed)
+    pool = [" ".join(r.choice("abcdef") for _ in range(r.choice([1, 2, 4, 7]))) for _ in range(9)]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(0, 14)))) for i in range(50)]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_words=12).collect()}
+    assert got == true_repeats(rows, 12)
+    assert got != brute(rows, 12)
