@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -70,6 +71,36 @@ def test_members_outside_the_pivots_component_are_still_linked(spark):
     assert got == {i: c for i, (_, c) in brute(rows, 2).items()}
 
 
+def test_a_large_group_of_near_copies_equals_brute_force(spark):
+    # Edits of one text at all distances: one large component, and many members that are just outside it.
+    r = random.Random(5)
+    base = [f"g{i}" for i in range(150)]
+    rows = []
+    for n in range(700):
+        words = list(base)
+        for _ in range(r.randint(0, 30)):
+            words[r.randrange(150)] = f"y{r.randrange(300)}"
+        rows.append((n * 7 % 700, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, words=2).collect()}
+    want = brute(rows, 2)
+    assert got == want
+    assert 100 < len({c for _, c in want.values()}) < 600
+
+
+def test_parities_never_exceed_the_difference():
+    r = np.random.default_rng(1)
+    for n in (5, 150, 4000):
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets = [np.unique(a), np.unique(np.concatenate([a[n // 10 :], r.integers(0, 1 << 63, n // 8, dtype=np.uint64)])), np.zeros(0, np.uint64)]
+        bits = N.parities(sets).view(np.uint64)
+        apart = lambda x, y: sum(int(v).bit_count() for v in bits[x] ^ bits[y])
+        for x, y in ((0, 1), (0, 2), (1, 2)):
+            assert 0 <= len(np.setxor1d(sets[x], sets[y])) - apart(x, y)
+        if n == 150:
+            assert apart(0, 1) >= 0.9 * len(np.setxor1d(sets[0], sets[1]))
+
+
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = N.near_duplicates(odd_documents, words=2).collect()
     assert len(rows) == odd_documents.count()
