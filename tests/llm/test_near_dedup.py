@@ -80,7 +80,7 @@ def test_a_large_group_of_near_copies_equals_brute_force(spark):
         words = list(base)
         for _ in range(r.randint(0, 30)):
             words[r.randrange(150)] = f"y{r.randrange(300)}"
-        rows.append((n * 7 % 700, " ".join(words)))
+        rows.append((n * 11 % 700, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(df, words=2).collect()}
     want = brute(rows, 2)
