@@ -14,11 +14,19 @@ drawn at once. Up to ``EXACT`` customers S_d comes from a table, beyond from the
 (1 - (1 - z)^d)^t, by quadrature along a contour or at the saddle point. The predictive probabilities of
 several samples after burn-in are averaged.
 
-How it is laid out: pairs of word and context are dealt out by the hashes of both. A place keeps the counts and tables
-of its pairs; after each sweep the sums of tables by context and by word are gathered by key in ``SHARDS``
-shards and go back to the places that have the key, so each sweep is conditioned on the true sums of the one
-before. All pairs are drawn at once from these, with random numbers of the pair's hash, so scores don't depend
-on the number of places. Only totals of the whole corpus reach the driver.
+How it is laid out: a grid of places is spanned by the hashes of contexts and of words, so a key is in one row or
+column of it and a common one in many places. Texts are taken a buffer at a time; a buffer deals its distinct
+pairs out to the places, with their training counts. A place keeps its pairs and, for each buffer, which of them it
+was dealt. Pairs that occur once always sit at one table, so only the others are drawn; after each sweep their
+tables are summed by context and by word in shards (parts of a row or column of the grid) and the sums go back to
+the places that have the key. So each sweep is conditioned on the true sums of the one before; all pairs are drawn
+at once from these, with random numbers of the pair's hash, and scores don't depend on the number of places. In
+the end a place gives each buffer the probabilities of the pairs that it dealt, and a second pass over the texts
+adds them up. Rows moved are buffers times places at most, never more than distinct pairs. Only totals of the
+whole corpus reach the driver.
+
+The texts are read twice and must come in the same partitions and order (a table or a checkpoint); a buffer that
+comes out otherwise the second time is an error, never a wrong score.
 
 Tokens are words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased, then one end. Unseen words share one
 outcome. Logarithms have base 10.
@@ -51,9 +59,9 @@ BURN_IN, SAMPLES = 2, 3
 #: Discounts and strengths of the context restaurants and of their parent.
 DISCOUNT, STRENGTH, TOP_DISCOUNT, TOP_STRENGTH = 0.85, 1.0, 0.6, 1.0
 #: Bytes of text whose pairs make one place.
-PLACE_BYTES = 12 << 20
-#: Parts in which sums by context and by word are gathered.
-SHARDS = 64
+PLACE_BYTES = 24 << 20
+#: Tokens whose pairs are dealt out together.
+BUFFER = 2_000_000
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: The context of a text's first token.
@@ -219,17 +227,6 @@ def pairs_of(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return mix64(words + mix64(contexts ^ np.uint64(0x9A1A)))
 
 
-def _place(words: np.ndarray, contexts: np.ndarray, grid: tuple[int, int]) -> np.ndarray:
-    """Places are a grid over contexts and words: a key is in one row or column of it, and a common one in many places."""
-    return (mix64(contexts) % np.uint64(grid[0]) * np.uint64(grid[1]) + mix64(words) % np.uint64(grid[1])).astype(np.int64)
-
-
-def _short(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and the places of x among them, in few bytes."""
-    values, at = np.unique(x, return_inverse=True)
-    return values, at.astype(np.uint16 if len(values) < 1 << 16 else np.uint32)
-
-
 def _uniform(pairs: np.ndarray, sweep: int) -> np.ndarray:
     return (mix64(pairs ^ mix64(np.array([sweep + 77], np.uint64))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
 
@@ -304,22 +301,41 @@ class Seating:
 
 # ------------------------------------------------------------------------- places
 
-_ROWS = "place int, kind int, shard int, n long, tokens long, blob binary"
-_NAMES = ["place", "kind", "shard", "n", "tokens", "blob"]
+_ROWS = "seat int, kind int, place int, name long, n long, blob binary"
+_NAMES = ["seat", "kind", "place", "name", "n", "blob"]
 _TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-STATE, BY_CONTEXT, BY_WORD, TEXTS = range(4)
+DEALT, FIXED, DRAWN, BY_CONTEXT, BY_WORD, SHARD_CONTEXT, SHARD_WORD, TEXTS = range(8)
+_SIDES = (BY_CONTEXT, BY_WORD)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    raw = pickle.dumps(arrays, 5)
+    """Floats, and whole numbers from 0 on: rising ones as differences, all as planes of bytes."""
+    made = []
+    for x in arrays:
+        back, rising = x.dtype.str, False
+        if x.dtype.kind != "f":
+            back = "<u8" if x.dtype == np.uint64 else "<i8"
+            x = x.astype(np.uint64)
+            rising = len(x) > 1 and bool((x[1:] >= x[:-1]).all())
+            if rising:
+                x = np.concatenate([x[:1], x[1:] - x[:-1]])
+            x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+        made.append((back, rising, x.dtype.str, x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()))
+    raw = pickle.dumps(made, 5)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True))
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    out = []
+    for back, rising, kind, raw in pickle.loads(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)):
+        width = np.dtype(kind).itemsize
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+        x = x.astype(back)
+        out.append(np.cumsum(x, dtype=back) if rising else x)
+    return out
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _batch(*rows: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_TYPES)], _NAMES)
 
 
@@ -333,214 +349,344 @@ def _grouped(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[t
         yield key, held.pop(key)
 
 
-def _shard(keys: np.ndarray) -> np.ndarray:
-    return (mix64(keys ^ np.uint64(0x5A5A)) % np.uint64(SHARDS)).astype(np.int64)
+def _mapped(df: DataFrame, f, schema: str = _ROWS) -> DataFrame:
+    return df.mapInArrow(f, schema)
 
 
-def _keys(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in the order of shards, and the place of each of x among them."""
-    keys, at = np.unique(x, return_inverse=True)
-    order = np.argsort(_shard(keys), kind="stable")
-    back = np.empty(len(keys), np.int32)
-    back[order] = np.arange(len(keys), dtype=np.int32)
-    return keys[order], back[at]
+class Grid:
+    """Places by hash of context (rows) and of word (columns); the shards of a row or column are as many as its places."""
 
+    def __init__(self, docs: DataFrame, size: int):
+        self.side = max(2, math.ceil(math.sqrt(size / PLACE_BYTES)))
+        self.places = self.side**2
+        # For each place a number that Spark's hash deals to a partition of its own.
+        tries = docs.sparkSession.range(40 * self.places + 400).select(F.col("id").cast("int").alias("seat"))
+        found = tries.groupBy(F.pmod(F.hash("seat"), F.lit(self.places)).alias("place")).agg(F.min("seat").alias("seat")).collect()
+        self.seats = [s for _, s in sorted((r.place, r.seat) for r in found)]
 
-def _asked(place: int, kind: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """What a place adds to the sums of its keys, by shard."""
-    cuts = np.searchsorted(_shard(keys), np.arange(SHARDS + 1))
-    for s in range(SHARDS):
-        a, b = cuts[s], cuts[s + 1]
-        if b > a:
-            yield place, kind, s, 0, 0, _pack(keys[a:b], *[v[a:b] for v in values])
+    def place(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return (mix64(contexts) % np.uint64(self.side) * np.uint64(self.side) + mix64(words) % np.uint64(self.side)).astype(np.int64)
 
+    def line(self, kind: int, place: int) -> int:
+        return place // self.side if kind == BY_CONTEXT else place % self.side
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The true sums of a shard's keys, to each place that asked."""
-    for (kind, shard), rows in _grouped(batches, "kind", "shard"):
-        asked = [_unpack(r["blob"]) for r in rows]
-        keys, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        sums = [_sums(at, np.concatenate(v), len(keys))[at] for v in zip(*[a[1:] for a in asked], strict=True)]
-        first = 0
-        for r, a in zip(rows, asked, strict=True):
-            past = first + len(a[0])
-            yield _batch([(r["place"], kind, shard, 0, 0, _pack(*[x[first:past] for x in sums]))])
-            first = past
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        """Which shard of its line has a key."""
+        return (mix64(keys ^ np.uint64(0x5A5A)) % np.uint64(self.side)).astype(np.int64)
 
+    def asked(self, kind: int, place: int, keys: np.ndarray, *values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What a place says of its keys, to the shards."""
+        part = self.part(keys)
+        for j in np.unique(part).tolist():
+            own = part == j
+            shard = self.line(kind, place) * self.side + j
+            yield _batch((self.seats[shard], kind, place, shard, 0, _pack(keys[own], *[v[own] for v in values])))
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of each shard that occur in training texts."""
-    for (shard,), rows in _grouped(batches, "shard"):
-        asked = [_unpack(r["blob"]) for r in rows]
-        n = len(np.unique(np.concatenate([keys[c > 0] for keys, c, _ in asked])))
-        yield _batch([(0, BY_WORD, shard, n, 0, b"")])
+    def answered(self, rows: list[dict], kind: int, keys: np.ndarray) -> list[np.ndarray]:
+        """The values of a place's keys, from the answers of its shards."""
+        answers = [_unpack(r["blob"]) for r in sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["name"])]
+        order = np.argsort(self.part(keys), kind="stable")
+        out = []
+        for x in zip(*answers, strict=True):
+            values = np.empty(len(keys), np.int64)
+            values[order] = np.concatenate(x)
+            out.append(values)
+        return out
 
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.places, "seat")
 
-def _deal_pairs(docs: DataFrame, grid: tuple[int, int]) -> DataFrame:
-    """Distinct pairs of each slice of texts with their training counts, by place."""
+
+def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """Ids, tokens and bounds of consecutive texts, some ``BUFFER`` tokens at a time."""
+
+    def joined() -> tuple[list[int | None], np.ndarray, np.ndarray]:
+        lengths = np.concatenate([np.diff(bounds) for _, _, bounds in held])
+        return [i for ids, _, _ in held for i in ids], np.concatenate([words for _, words, _ in held]), np.concatenate([[0], np.cumsum(lengths)])
+
+    held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for part in slices(batch, "text"):
+            words, _, bounds = tokens_of(part.column(1))
+            held.append((part.column(0).to_pylist(), words, bounds))
+            size += len(words)
+            if size >= BUFFER:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _entries(words: np.ndarray, bounds: np.ndarray, grid: Grid) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of a buffer by place, context and word.
+
+    Name of the buffer (a hash of its pairs), sorted keys, contexts and words (places among the keys), places, and
+    which pair each token is.
+    """
+    keys, w = np.unique(np.append(words, START), return_inverse=True)
+    k = np.empty(len(words), np.int64)
+    k[1:] = w[:-2]
+    k[bounds[:-1]] = w[-1]
+    code, at = np.unique(k * len(keys) + w[:-1], return_inverse=True)
+    k, w = np.divmod(code, len(keys))
+    place = grid.place(keys[k], keys[w])
+    order = np.argsort(place, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    name = int(mix64(np.array([mix64(pairs_of(keys[w], keys[k])).sum(dtype=np.uint64)])).view(np.int64)[0])
+    return name, keys, k[order], w[order], place[order], rank[at]
+
+
+def _deal(grid: Grid):
+    """Distinct pairs of each buffer with their training counts, to their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words, contexts, bounds = tokens_of(part.column(1))
-                learned = np.repeat(~_held_out(part.column(0).to_pylist()), np.diff(bounds))
-                pairs, first, at = np.unique(pairs_of(words, contexts), return_index=True, return_inverse=True)
-                n = np.bincount(at, learned, minlength=len(pairs)).astype(np.int32)
-                place = _place(words[first], contexts[first], grid)
-                order = np.argsort(place, kind="stable")
-                cuts = np.searchsorted(place[order], np.arange(grid[0] * grid[1] + 1))
-                w, k, n = words[first[order]], contexts[first[order]], n[order]
-                yield _batch([(p, STATE, 0, 0, 0, _pack(*_short(w[a:b]), *_short(k[a:b]), n[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
-
-    return docs.select("doc_id", "text").mapInArrow(run, _ROWS)
-
-
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of each place with their counts and first tables, and what is asked of the shards."""
-    for (place,), rows in _grouped(batches, "place"):
-        dealt = [(v[w], u[k], n) for v, w, u, k, n in (_unpack(r["blob"]) for r in rows)]
-        words, contexts, n = (np.concatenate(x) for x in zip(*dealt, strict=True))
-        u, k = _keys(contexts)
-        v, w = _keys(words)
-        # By context and then word, which packs well.
-        pair, at = np.unique(k.astype(np.int64) << 32 | w, return_inverse=True)
-        c = _sums(at, n, len(pair))
-        k, w = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
-        t = _first_tables(c)
-        none = np.zeros(0, np.int64)
-        yield _batch([(place, STATE, 0, int(t.sum()), int(c.sum()), _pack(u, v, k, w, c.astype(np.int32), t.astype(np.int32), none, none, np.zeros(0, np.float32)))])
-        for kind, keys, x in ((BY_CONTEXT, u, k), (BY_WORD, v, w)):
-            for row in _asked(place, kind, keys, _sums(x, c, len(keys)), _sums(x, t, len(keys))):
-                yield _batch([row])
-
-
-def _step(sweep: int, tables_all: int, vocabulary: int):
-    """Take the sums of the tables drawn last; add the probabilities of a sample; draw anew, or end."""
+        for ids, words, bounds in _buffers(batches):
+            name, keys, k, w, place, at = _entries(words, bounds, grid)
+            n = _sums(at, np.repeat(~_held_out(ids), np.diff(bounds)), len(k))
+            for p in np.unique(place).tolist():
+                a, b = np.searchsorted(place, [p, p + 1])
+                ku, kk = np.unique(k[a:b], return_inverse=True)
+                wu, ww = np.unique(w[a:b], return_inverse=True)
+                yield _batch((grid.seats[p], DEALT, p, name, 0, _pack(keys[ku], kk, keys[wu], ww, n[a:b])))
+
+    return run
+
+
+def _open(grid: Grid):
+    """The pairs of each place by context and word: keys, counts, and which of them each buffer dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (place,), rows in _grouped(batches, "place"):
-            u, v, k, w, c, t, customers, count, p = next(_unpack(r["blob"]) for r in rows if r["kind"] == STATE)
-            c, t = c.astype(np.int64), t.astype(np.int64)
-            sums = {}
-            for kind in (BY_CONTEXT, BY_WORD):
-                answers = sorted((r for r in rows if r["kind"] == kind), key=lambda r: r["shard"])
-                sums[kind] = [np.concatenate(x) for x in zip(*[_unpack(r["blob"]) for r in answers], strict=True)]
-            if sweep == 0:
-                customers, count = sums[BY_CONTEXT][0], sums[BY_WORD][0]
-            tables, dish = sums[BY_CONTEXT][-1][k], sums[BY_WORD][-1][w]
-            if sweep > BURN_IN:
-                more = _probability(c, t, customers[k], tables, dish, tables_all, vocabulary)
-                p = p + more if len(p) else more
-            pairs = pairs_of(v[w], u[k])
-            if sweep < BURN_IN + SAMPLES:
-                t = _sweep(pairs, c, t, tables, dish, tables_all, vocabulary, sweep)
-                yield _batch([(place, STATE, 0, int(t.sum()), 0, _pack(u, v, k, w, c.astype(np.int32), t.astype(np.int32), customers, count, p.astype(np.float32)))])
+            parts = [_unpack(r["blob"]) for r in rows]
+            u, v = (np.unique(np.concatenate([x[i] for x in parts])) for i in (0, 2))
+            code = np.concatenate([np.searchsorted(u, ku)[kk] << 32 | np.searchsorted(v, wu)[ww] for ku, kk, wu, ww, _ in parts])
+            code, at = np.unique(code, return_inverse=True)
+            c = _sums(at, np.concatenate([x[4] for x in parts]), len(code))
+            cuts = np.cumsum([len(x[4]) for x in parts])[:-1]
+            names = np.array([r["name"] for r in rows], np.int64).view(np.uint64)
+            yield _batch((grid.seats[place], FIXED, place, 0, int(c.sum()), _pack(u, v, code >> 32, code & 0xFFFFFFFF, c, names, *np.split(at, cuts))))
+
+    return run
+
+
+def _ask_all(grid: Grid):
+    """Of every key of a place: customers, pairs of one, first tables of the others, and whether it has others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                u, v, k, w, c = _unpack(r["blob"])[:5]
+                more = c > 1
+                t = _first_tables(c[more])
                 for kind, keys, x in ((BY_CONTEXT, u, k), (BY_WORD, v, w)):
-                    for row in _asked(place, kind, keys, _sums(x, t, len(keys))):
-                        yield _batch([row])
-            else:
-                order = np.argsort(pairs)
-                yield _batch([(place, STATE, 0, 0, 0, _pack(pairs[order], np.log10(p / SAMPLES)[order].astype(np.float32), count[w][order]))])
+                    n = len(keys)
+                    yield from grid.asked(kind, r["place"], keys, _sums(x, c, n), np.bincount(x[c == 1], minlength=n), _sums(x[more], t, n), np.bincount(x[more], minlength=n) > 0)
 
     return run
 
 
-def _deal_texts(docs: DataFrame, grid: tuple[int, int]) -> DataFrame:
-    """Tokens by place: for each slice of texts one row a place, with the tokens of each text together."""
+def _first_seats(grid: Grid):
+    """What is drawn in a place: keys, pairs, counts and tables of the pairs that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                words, contexts, bounds = tokens_of(part.column(1))
-                keys = np.asarray(part.column(2))
-                pairs = pairs_of(words, contexts)
-                place = _place(words, contexts, grid)
-                order = np.argsort(place, kind="stable")
-                text, pairs = np.repeat(np.arange(part.num_rows), np.diff(bounds))[order], pairs[order]
-                cuts = np.searchsorted(place[order], np.arange(grid[0] * grid[1] + 1))
-                made = []
-                for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if b > a:
-                        of, sizes = np.unique(text[a:b], return_counts=True)
-                        made.append((p, TEXTS, 0, int(keys[0]), 0, _pack(keys[of], sizes.astype(np.int32), *_short(pairs[a:b]))))
-                yield _batch(made)
-
-    return docs.select("doc_id", "text", "__key").mapInArrow(run, _ROWS)
-
-
-def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each dealt row the sums of its texts over their tokens here."""
-    for _, rows in _grouped(batches, "place"):
-        state = [_unpack(r["blob"]) for r in rows if r["kind"] == STATE]
-        for r in rows:
-            if r["kind"] == TEXTS:
-                docs, sizes, own, at = _unpack(r["blob"])
-                pairs, log_p, count = state[0]
-                found = np.searchsorted(pairs, own)[at]
-                cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                c = count[found]
-                sums = [np.add.reduceat(x, cuts) for x in (log_p[found].astype(np.float64), np.log10(c + 0.5), (c > 0).astype(np.int64))]
-                yield _batch([(0, TEXTS, 0, r["n"], 0, _pack(docs, *sums))])
+            for r in batch.to_pylist():
+                u, v, k, w, c = _unpack(r["blob"])[:5]
+                more = c > 1
+                ku, kk = np.unique(k[more], return_inverse=True)
+                wu, ww = np.unique(w[more], return_inverse=True)
+                t = _first_tables(c[more])
+                yield _batch((r["seat"], DRAWN, r["place"], int((c == 1).sum()), int((c == 1).sum() + t.sum()), _pack(u[ku], kk, v[wu], ww, c[more], t)))
+
+    return run
+
+
+def _gather(grid: Grid):
+    """Each shard's keys, and to each place the sums of those of its keys that have pairs to draw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, shard), rows in _grouped(batches, "kind", "name"):
+            asked = [_unpack(r["blob"]) for r in rows]
+            keys, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+            customers, once, tables = (_sums(at, np.concatenate([a[i] for a in asked]), len(keys)) for i in (1, 2, 3))
+            own = np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1])
+            places = np.array([r["place"] for r in rows])
+            yield _batch((grid.seats[shard], SHARD_CONTEXT if kind == BY_CONTEXT else SHARD_WORD, 0, shard, int((customers > 0).sum()), _pack(keys, customers, once, places, *own)))
+            for r, a, x in zip(rows, asked, own, strict=True):
+                x = x[a[4] > 0]
+                if len(x):
+                    yield _batch((grid.seats[r["place"]], kind, r["place"], shard, 0, _pack(once[x], (once + tables)[x])))
+
+    return run
+
+
+def _answer(grid: Grid):
+    """The sums of what places say of a key, to each of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (kind, shard), rows in _grouped(batches, "kind", "name"):
+            asked = [_unpack(r["blob"]) for r in rows]
+            keys, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+            sums = _sums(at, np.concatenate([a[1] for a in asked]), len(keys))
+            for r, x in zip(rows, np.split(at, np.cumsum([len(a[0]) for a in asked])[:-1]), strict=True):
+                yield _batch((grid.seats[r["place"]], kind, r["place"], shard, 0, _pack(sums[x])))
+
+    return run
+
+
+def _step(grid: Grid, sweep: int, tables_all: int, vocabulary: int):
+    """Draw the tables of a place given the sums of the sweep before, and say what they add to the sums.
 
+    The last sweep says what each sample adds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (place,), rows in _grouped(batches, "place"):
+            state = next(r for r in rows if r["kind"] == DRAWN)
+            u, k, v, w, c, t, *rest = _unpack(state["blob"])
+            if len(c):
+                answers = [grid.answered(rows, kind, keys) for kind, keys in ((BY_CONTEXT, u), (BY_WORD, v))]
+                if not sweep:
+                    rest = [answers[0][0], answers[1][0]]
+                    tables, dish = answers[0][1], answers[1][1]
+                else:
+                    tables, dish = answers[0][0] + rest[0], answers[1][0] + rest[1]
+                t = _sweep(pairs_of(v[w], u[k]), c, t, tables[k], dish[w], tables_all, vocabulary, sweep)
+            elif not sweep:
+                rest = [t, t]
+            if sweep >= BURN_IN:
+                rest = [*rest, t]
+            yield _batch((state["seat"], DRAWN, place, state["name"], state["name"] + int(t.sum()), _pack(u, k, v, w, c, t, *rest)))
+            says = [t] if sweep + 1 < BURN_IN + SAMPLES else rest[2:]
+            for kind, keys, x in ((BY_CONTEXT, u, k), (BY_WORD, v, w)):
+                yield from grid.asked(kind, place, keys, *[_sums(x, y, len(keys)) for y in says])
+
+    return run
+
+
+def _totals(grid: Grid):
+    """Customers, and tables in each sample, of every key of a shard, to all places that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (shard,), rows in _grouped(batches, "name"):
+            for kind, fixed in ((BY_CONTEXT, SHARD_CONTEXT), (BY_WORD, SHARD_WORD)):
+                for own in (r for r in rows if r["kind"] == fixed):
+                    keys, customers, once, places, *lists = _unpack(own["blob"])
+                    tables = [once.copy() for _ in range(SAMPLES)]
+                    for r in rows:
+                        if r["kind"] == kind:
+                            some, *sums = _unpack(r["blob"])
+                            at = np.searchsorted(keys, some)
+                            for x, more in zip(tables, sums, strict=True):
+                                x[at] += more
+                    for place, x in zip(places.tolist(), lists, strict=True):
+                        yield _batch((grid.seats[place], kind, place, shard, 0, _pack(customers[x], *[y[x] for y in tables])))
+
+    return run
+
+
+def _price(grid: Grid, tables_all: list[int], vocabulary: int):
+    """To each buffer the logarithms of the averaged probabilities of the pairs that it dealt, and their words' counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (place,), rows in _grouped(batches, "place"):
+            u, v, k, w, c, names, *lists = _unpack(next(r["blob"] for r in rows if r["kind"] == FIXED))
+            drawn = _unpack(next(r["blob"] for r in rows if r["kind"] == DRAWN))[8:]
+            customers, *tables = grid.answered(rows, BY_CONTEXT, u)
+            count, *dishes = grid.answered(rows, BY_WORD, v)
+            p = np.zeros(len(c))
+            for own, x, y, n in zip(drawn, tables, dishes, tables_all, strict=True):
+                t = np.minimum(c, 1)
+                t[c > 1] = own
+                p += _probability(c, t, customers[k], x[k], y[w], n, vocabulary)
+            log_p, count = np.log10(p / SAMPLES).astype(np.float32), count[w]
+            for name, x in zip(names.view(np.int64).tolist(), lists, strict=True):
+                yield _batch((0, DEALT, place, name, 0, _pack(log_p[x], count[x])))
+
+    return run
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sums of texts whose places meet here."""
-    for _, rows in _grouped(batches, "n"):
-        docs, *sums = (np.concatenate(x) for x in zip(*[_unpack(r["blob"]) for r in rows], strict=True))
-        keys, at = np.unique(docs, return_inverse=True)
-        log_p, log_c, known = (np.bincount(at, x, minlength=len(keys)) for x in sums)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(log_p), pa.array(log_c), pa.array(np.rint(known).astype(np.int64))], ["key", "log_p", "log_c", "known"])
+
+def _texts(grid: Grid):
+    """Ids and tokens of each buffer, as numbers of its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, words, bounds in _buffers(batches):
+            name, _, k, _, _, at = _entries(words, bounds, grid)
+            known = np.array([i is not None for i in ids])
+            yield _batch((0, TEXTS, 0, name, len(k), _pack(np.array([i or 0 for i in ids], np.int64).view(np.uint64), known, _held_out(ids), np.diff(bounds), at)))
+
+    return run
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
+
+
+def _score(total: int, vocabulary: int):
+    """The sums of each text of a buffer."""
+    norm = math.log10(total + 0.5 * (vocabulary + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _grouped(batches, "name"):
+            # Buffers of equal pairs have one name, and equal answers.
+            answers = {r["place"]: r["blob"] for r in rows if r["kind"] == DEALT}
+            parts = [_unpack(answers[p]) for p in sorted(answers)]
+            for r in rows:
+                if r["kind"] != TEXTS:
+                    continue
+                if r["n"] != sum(len(x[0]) for x in parts):
+                    raise RuntimeError("the texts came in another order the second time: score a table or a checkpoint")
+                log_p, count = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+                ids, known, held, sizes, at = _unpack(r["blob"])
+                cuts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                log_c = np.log10(count + 0.5)
+                score, base, seen = (np.add.reduceat(x[at], cuts) for x in (log_p.astype(np.float64), log_c, (count > 0).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids.view(np.int64), mask=known == 0),
+                        pa.array(held > 0),
+                        pa.array(sizes),
+                        pa.array(seen),
+                        pa.array(np.full(len(sizes), total)),
+                        pa.array(base - sizes * norm),
+                        pa.array(score),
+                        pa.array(10 ** (-score / sizes)),
+                    ],
+                    [c.split()[0] for c in _SCORES.split(", ")],
+                )
+
+    return run
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of each row.
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` of each row.
 
-    The fold that is held out is ``crc32(doc_id as text) mod 5 = 1``.
+    The fold that is held out is ``crc32(doc_id as text) mod 5 = 1``. ``perplexity`` is that of the text under the
+    model, 10 ^ (-score / n_tokens).
     """
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id, text).alias("__key"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    side = max(2, math.ceil(math.sqrt(size / PLACE_BYTES)))
-    grid, places = (side, side), side * side
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    grid = Grid(docs, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+    fixed = checkpointed(_mapped(grid.dealt(_mapped(docs, _deal(grid))), _open(grid)))
+    total = fixed.agg(F.sum("n")).first()[0] or 0
+    shards = checkpointed(_mapped(grid.dealt(_mapped(fixed, _ask_all(grid))), _gather(grid)))
+    vocabulary = shards.where(F.col("kind") == SHARD_WORD).agg(F.sum("n")).first()[0] or 0
+
+    state, answers = _mapped(fixed, _first_seats(grid)), shards.where(F.col("kind").isin(*_SIDES))
+    tables_all = state.agg(F.sum("n")).first()[0] or 0
+    samples: list[int] = []
+    for sweep in range(BURN_IN + SAMPLES):
+        now = checkpointed(_mapped(grid.dealt(state.union(answers)), _step(grid, sweep, tables_all, vocabulary)))
+        state, says = now.where(F.col("kind") == DRAWN), now.where(F.col("kind").isin(*_SIDES))
+        answers = _mapped(grid.dealt(says), _answer(grid))
+        tables_all = state.agg(F.sum("n")).first()[0] or 0
+        if sweep >= BURN_IN:
+            samples.append(tables_all)
 
-    now = checkpointed(_deal_pairs(docs, grid).repartition(places, "place").mapInArrow(_open, _ROWS))
+    totals = _mapped(grid.dealt(shards.where(F.col("kind").isin(SHARD_CONTEXT, SHARD_WORD)).union(says)), _totals(grid))
+    priced = checkpointed(_mapped(grid.dealt(fixed.union(state).union(totals)), _price(grid, samples, vocabulary)))
+    # What came before is needed no more, nor are its shuffle files and checkpoints.
+    del fixed, shards, now, state, says, answers, totals
     release(docs.sparkSession)
-    vocabulary = now.where(F.col("kind") == BY_WORD).repartition(places, "shard").mapInArrow(_vocabulary, _ROWS).agg(F.sum("n")).first()[0] or 0
-    total = now.where(F.col("kind") == STATE).agg(F.sum("tokens")).first()[0] or 0
-    for sweep in range(BURN_IN + SAMPLES + 1):
-        state = now.where(F.col("kind") == STATE)
-        tables_all = state.agg(F.sum("n")).first()[0] or 0
-        answers = now.where(F.col("kind") != STATE).repartition(places, "kind", "shard").mapInArrow(_answer, _ROWS)
-        now = checkpointed(state.union(answers).repartition(places, "place").mapInArrow(_step(sweep, tables_all, vocabulary), _ROWS))
-        # The sweep before is needed no more, nor are its shuffle files.
-        del state, answers
-        release(docs.sparkSession)
-
-    scored = now.union(_deal_texts(docs, grid)).repartition(places, "place").mapInArrow(_score, _ROWS)
-    # A slice of texts has one row a place here, however many texts it has; its rows meet in one task.
-    parts = scored.repartition("n").mapInArrow(_merge, "key long, log_p double, log_c double, known long")
-    rest = checkpointed(parts.groupBy("key").agg(F.sum("log_p").alias("log_p"), F.sum("log_c").alias("log_c"), F.sum("known").alias("known")))
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                _, bounds = word_hashes(part.column(1))
-                ids = part.column(0)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(_held_out(ids.to_pylist())), pa.array(np.diff(bounds) + 1), part.column(2)], ["doc_id", "held_out", "n_tokens", "key"])
-
-    own = docs.select("doc_id", "text", "__key").mapInArrow(sizes, "doc_id long, held_out boolean, n_tokens long, key long")
-    # Rows equal in id and text were dealt under one key: their sums are shared out again.
-    times = own.groupBy("key").agg(F.count("*").alias("times"))
-    norm = math.log10(total + 0.5 * (vocabulary + 1))
-    return (
-        own.join(times, "key")
-        .join(rest, "key")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            F.round(F.col("known") / F.col("times")).cast("long").alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"),
-            (F.col("log_c") / F.col("times") - F.col("n_tokens") * F.lit(norm)).alias("base_score"),
-            (F.col("log_p") / F.col("times")).alias("score"),
-        )
-    )
+    return _mapped(priced.union(_mapped(docs, _texts(grid))).repartition(grid.places, "name"), _score(total, vocabulary), _SCORES)
