@@ -667,7 +667,14 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     grid = Grid(docs, docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    priced, total, vocabulary = _sampled(docs, grid)
+    # What came before is needed no more, nor are its shuffle files and checkpoints.
+    release(docs.sparkSession, 4, 0.5)
+    return _mapped(priced.union(_mapped(docs, _texts(grid))).repartition(grid.places, "name"), _score(total, vocabulary), _SCORES)
+
 
+def _sampled(docs: DataFrame, grid: Grid) -> tuple[DataFrame, int, int]:
+    """The prices of all buffers, and the numbers of training tokens and of words in them."""
     fixed = checkpointed(_mapped(grid.dealt(_mapped(docs, _deal(grid))), _open(grid)))
     total = fixed.agg(F.sum("n")).first()[0] or 0
     shards = checkpointed(_mapped(grid.dealt(_mapped(fixed, _ask_all(grid))), _gather(grid)))
@@ -684,9 +691,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if sweep >= BURN_IN:
             samples.append(tables_all)
 
+    del now, answers
+    release(docs.sparkSession, 4, 0.3)
     totals = _mapped(grid.dealt(shards.where(F.col("kind").isin(SHARD_CONTEXT, SHARD_WORD)).union(says)), _totals(grid))
     priced = checkpointed(_mapped(grid.dealt(fixed.union(state).union(totals)), _price(grid, samples, vocabulary)))
-    # What came before is needed no more, nor are its shuffle files and checkpoints.
-    del fixed, shards, now, state, says, answers, totals
-    release(docs.sparkSession)
-    return _mapped(priced.union(_mapped(docs, _texts(grid))).repartition(grid.places, "name"), _score(total, vocabulary), _SCORES)
+    return priced, total, vocabulary

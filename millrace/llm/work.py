@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.session import shared_folder
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, rounds: int = 2, pause: float = 0.1) -> None:
     """Let Spark's cleaner remove the shuffle files of plans that nothing refers to any more.
 
-    It learns of them from the driver's garbage collection, which a small driver may put off for long.
+    It learns of them from the driver's garbage collection, which a small driver may put off for long. What Python
+    lets go, and events that listeners have yet to see, reach it a little later: so both collect several times.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
