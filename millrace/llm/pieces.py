@@ -7,8 +7,8 @@ are skipped when they come up. What no merge covers falls back to byte pieces or
 A text is cut where no piece of the vocabulary can reach across (before a word-start mark, around
 characters that are in no longer piece); such units are independent, so each distinct unit is run
 through the agenda once and kept in a bounded memory. Units new to an Arrow batch are encoded
-together, and a share of them is compared with the sentencepiece library before ids are used (the
-library takes longer than the agenda, so the share is a parameter); a difference raises.
+together, and all of them are compared with the sentencepiece library before ids are used (``check_every``
+makes it a share of them); a difference raises.
 
 Defined cases: a null text is an empty text; an empty text gives the begin and end ids alone and
 decodes to the empty text; rows are kept one to one, so repeated rows and extra columns (also ones
@@ -20,6 +20,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import itertools
 import re
 import zlib
 from array import array
@@ -54,7 +55,7 @@ class Mismatch(AssertionError):
 class PieceCodec:
     """Encoder and decoder of one merge-type vocabulary file."""
 
-    def __init__(self, model_file: str, check_every: int = 4):
+    def __init__(self, model_file: str, check_every: int = 1):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as schema
 
@@ -95,6 +96,7 @@ class PieceCodec:
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         self._marked = {i for p, i in self.ids.items() if p.startswith(MARK)}
         self._high = {i for b, i in self.bytes.items() if b >= 0x80}
+        self._silent = {i for i, shown in enumerate(self.shown) if not shown}
         #: No piece holds a mark behind another character: a word start is always a cut.
         self.cuts_words = not any(MARK in p.lstrip(MARK) for p in self.ids)
         reach = {c for p in self.ids if len(p) > 1 for c in p}
@@ -261,7 +263,7 @@ class PieceCodec:
         return self._runs.findall((MARK if self.dummy_prefix else "") + text.replace(" ", MARK))
 
     def learn(self, units: list[str]) -> list[bytes]:
-        """Packed ids of distinct units, by the agenda, partly held against the library."""
+        """Packed ids of distinct units, by the agenda, held against the library."""
         lone = self._lone.search if self._lone is not None and self._user is None else lambda _: None
         joined = [u for u in units if lone(u)]
         cuts = [[p for p in self._lone.split(u) if p] for u in joined]
@@ -314,7 +316,10 @@ class PieceCodec:
         shown = self.shown
         text = "".join(map(shown.__getitem__, ids))
         if not self._high.isdisjoint(ids):
-            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "millrace-each-byte")
+            # Bytes on the two sides of a control piece are no character.
+            apart = not self._silent.isdisjoint(ids[1:-1])
+            runs = ("".join(map(shown.__getitem__, run)) for silent, run in itertools.groupby(ids, self._silent.__contains__) if not silent) if apart else [text]
+            text = "".join(run.encode("utf-8", "surrogateescape").decode("utf-8", "millrace-each-byte") for run in runs)
         if self.dummy_prefix or self.squeeze:
             for i in ids:
                 if shown[i]:
@@ -327,7 +332,7 @@ class PieceCodec:
 _codecs: dict[tuple[str, int], PieceCodec] = {}
 
 
-def codec(model_file: str, check_every: int = 4) -> PieceCodec:
+def codec(model_file: str, check_every: int = 1) -> PieceCodec:
     """One codec per Python worker and file."""
     key = (model_file, check_every)
     if key not in _codecs:
@@ -341,11 +346,11 @@ def with_columns(df: DataFrame, added: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in df.schema if f.name.lower() not in names] + added)
 
 
-def encode_documents(df: DataFrame, model_file: str, text: str = "text", begin: bool = True, end: bool = True, check_every: int = 4, keep_text: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, model_file: str, text: str = "text", begin: bool = True, end: bool = True, check_every: int = 1, keep_text: bool = True) -> DataFrame:
     """``df`` with ``piece_ids`` (array of int) and ``piece_text`` (the ids decoded again).
 
-    In every batch, one in ``check_every`` of the newly encoded units (by crc32; 1: all, 0: none) is
-    compared with the library. Narrow: no shuffle, no state between
+    In every batch, the newly encoded units are compared with the library (or one in ``check_every`` of them, by
+    crc32; 0: none). Narrow: no shuffle, no state between
     rows beyond the bounded memory of each worker. ``keep_text=False`` leaves the text column out.
     """
     schema = with_columns(df, [T.StructField("piece_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("piece_text", T.StringType())])
