@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -78,6 +79,7 @@ class PartVisitor:
     pieces: list[str] = field(default_factory=list)
     attachments: list[dict] = field(default_factory=list)
     expanded_tokens: int = 0
+    length: int = 0
 
     def visit(self, part: dict) -> None:
         handler: Callable[[dict], None] | None = getattr(self, f"visit_{part.get('kind')}", None)
@@ -86,7 +88,7 @@ class PartVisitor:
         handler(part)
 
     def visit_text(self, part: dict) -> None:
-        self.pieces.append(escape(part.get("text") or ""))
+        self._add(escape(part.get("text") or ""))
 
     def visit_image(self, part: dict) -> None:
         self._attach(part, self.expansion.image(part))
@@ -98,11 +100,14 @@ class PartVisitor:
         self._attach(part, self.expansion.document(part))
 
     def _attach(self, part: dict, tokens: int) -> None:
-        offset = sum(map(len, self.pieces))
-        self.pieces.append(PLACEHOLDERS[part["kind"]])
-        self.attachments.append({"ordinal": len(self.attachments), "kind": part["kind"], "ref": part.get("ref"), "offset": offset, "n_tokens": tokens})
+        self.attachments.append({"ordinal": len(self.attachments), "kind": part["kind"], "ref": part.get("ref"), "offset": self.length, "n_tokens": tokens})
+        self._add(PLACEHOLDERS[part["kind"]])
         self.expanded_tokens += tokens
 
+    def _add(self, piece: str) -> None:
+        self.pieces.append(piece)
+        self.length += len(piece)
+
 
 def format_turn(role: str | None, parts: list[dict] | None, trained: frozenset[str], expansion: Expansion) -> dict:
     """One turn's segment, the bounds of what is trained on in it, and its attachments."""
@@ -118,19 +123,46 @@ def format_turn(role: str | None, parts: list[dict] | None, trained: frozenset[s
 
 
 def parse_turn(segment: str) -> tuple[str, str]:
-    """Role and text of a segment of text parts."""
+    """Role and text of a segment of text parts; a turn's marks stand at its ends and nowhere else."""
     if not segment.startswith(TURN_START) or not segment.endswith(f"{TURN_END}\n"):
         raise ValueError("not a turn")
-    role, _, body = segment[len(TURN_START) : -len(TURN_END) - 1].partition("\n")
+    inner = segment[len(TURN_START) : -len(TURN_END) - 1]
+    if TURN_START in inner or TURN_END in inner:
+        raise ValueError("a mark inside a turn")
+    role, _, body = inner.partition("\n")
     return unescape(role, _UNESCAPED), unescape(body)
 
 
+class TurnReader:
+    """Finds the turns of a formatted conversation that comes in chunks of any size, whatever made them.
+
+    Only the turn that is still open is held.
+    """
+
+    def __init__(self):
+        self.open, self.at, self.seen = "", 0, 0
+
+    def feed(self, chunk: str) -> Iterator[tuple[int, str]]:
+        """Offset and segment of each turn that ends in what has come so far."""
+        self.open += chunk
+        while (end := self.open.find(TURN_END, self.seen)) >= 0 and end + len(TURN_END) < len(self.open):
+            past = end + len(TURN_END) + 1
+            turn, first = self.open[:past], self.at
+            self.open, self.at, self.seen = self.open[past:], self.at + past, 0
+            yield first, turn
+        self.seen = max(0, len(self.open) - len(TURN_END))
+
+    def close(self) -> None:
+        if self.open:
+            raise ValueError("the last turn has no end")
+
+
 def parse_conversation(formatted: str) -> list[tuple[str, str]]:
     """Roles and texts of a formatted conversation."""
-    turns = formatted.split(f"{TURN_END}\n")
-    if turns.pop() != "":
-        raise ValueError("the last turn has no end")
-    return [parse_turn(t + f"{TURN_END}\n") for t in turns]
+    reader = TurnReader()
+    turns = [parse_turn(t) for _, t in reader.feed(formatted)]
+    reader.close()
+    return turns
 
 
 def format_turns(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None, trained: tuple[str, ...] = ("assistant",), expansion: Expansion | None = None) -> DataFrame:
@@ -209,42 +241,57 @@ def join_segments(segments: DataFrame) -> DataFrame:
     return ordered(segments).select("conv_id", "segment", "loss_from", "loss_to").mapInArrow(run, f"conv_id {kind}, formatted string, loss_spans array<struct<first:int,past:int>>")
 
 
-class _Reader:
-    """Reads one conversation's segments back in order, keeping digests only."""
+class _Digest:
+    """Reads one conversation back from its formatted output and the loss mask over it, keeping digests only."""
 
     def __init__(self, conv: object):
         self.conv, self.n, self.chars, self.loss = conv, 0, 0, 0
         self.turns, self.masked = hashlib.sha256(), hashlib.sha256()
-
-    def add(self, segment: str, a: int, b: int) -> None:
-        role, text = parse_turn(segment)
-        self.turns.update(f"{role}\n{text}\n".encode())
-        part = unescape(segment[a:b])
-        self.masked.update(part.encode())
-        self.n, self.chars, self.loss = self.n + 1, self.chars + len(segment), self.loss + len(part)
+        self.reader, self.spans = TurnReader(), deque()
+
+    def add(self, chunk: str, a: int, b: int) -> None:
+        """The next chunk of the output, with the mask's bounds in it."""
+        if b > a:
+            self.spans.append((self.chars + a, self.chars + b))
+        self.chars += len(chunk)
+        for first, turn in self.reader.feed(chunk):
+            role, text = parse_turn(turn)
+            self.turns.update(f"{role}\n{text}\n".encode())
+            self.n += 1
+            while self.spans and self.spans[0][0] < first + len(turn):
+                x, y = self.spans.popleft()
+                part = unescape(turn[x - first : y - first])
+                self.masked.update(part.encode())
+                self.loss += len(part)
 
     def row(self) -> dict:
+        self.reader.close()
         return {"conv_id": self.conv, "n_turns": self.n, "turns_sha256": self.turns.hexdigest(), "loss_chars": self.loss, "loss_sha256": self.masked.hexdigest(), "formatted_chars": self.chars}
 
 
 def conversation_digest(segments: DataFrame) -> DataFrame:
-    """What the formatted conversations hold, read back from their segments: counts and digests."""
+    """What the formatted conversations hold: counts and digests, read back from each one's whole output.
+
+    The output streams by as its joined segments; turns are found by their marks in it, never by the segments' ends.
+    """
+    counts = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-        reader: _Reader | None = None
+        schema, now = None, None
         for batch in batches:
+            schema = schema or pa.schema([("conv_id", batch.schema.field(0).type), *counts])
             done = []
             for conv, segment, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if reader is None or conv != reader.conv:
-                    if reader is not None:
-                        done.append(reader.row())
-                    reader = _Reader(conv)
-                reader.add(segment, a, b)
+                if now is None or conv != now.conv:
+                    if now is not None:
+                        done.append(now.row())
+                    now = _Digest(conv)
+                now.add(segment, a, b)
             if done:
                 yield pa.RecordBatch.from_pylist(done, schema)
-        if reader is not None:
-            yield pa.RecordBatch.from_pylist([reader.row()], schema)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([now.row()], schema)
 
     in_order = ordered(segments).select("conv_id", "segment", "loss_from", "loss_to")
-    return in_order.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    kind = segments.schema["conv_id"].dataType.simpleString()
+    return in_order.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
