@@ -35,11 +35,15 @@ _KINDS = mix64(np.arange(1, 4, dtype=np.uint64))
 
 @dataclass(frozen=True)
 class Ftrl:
-    """Parameters of the fit. ``sample`` bounds the labelled rows that are learned from."""
+    """Parameters of the fit. ``sample`` bounds the labelled rows that are learned from.
 
-    alpha: float = 0.5
+    Rates and penalties were chosen by log loss on an inner fifth of the labels that may be learned from (never
+    on the held-out quarter).
+    """
+
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 3.0
+    l1: float = 6.0
     l2: float = 0.1
     epochs: int = 4
     sample: int = 12_000
