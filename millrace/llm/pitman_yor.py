@@ -61,7 +61,7 @@ DISCOUNT, STRENGTH, TOP_DISCOUNT, TOP_STRENGTH = 0.85, 1.0, 0.6, 1.0
 #: Bytes of text whose pairs make one place.
 PLACE_BYTES = 24 << 20
 #: Tokens whose pairs are dealt out together.
-BUFFER = 2_000_000
+BUFFER = 1_200_000
 
 END = np.uint64(0x0E4D0E4D0E4D0E4D)
 #: The context of a text's first token.
@@ -407,7 +407,7 @@ def _buffers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | Non
     held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
     size = 0
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 2 << 20):
             words, _, bounds = tokens_of(part.column(1))
             held.append((part.column(0).to_pylist(), words, bounds))
             size += len(words)
