@@ -140,14 +140,15 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         .agg(F.collect_list("line").alias("__gone"), F.sum("words").alias("__words"))
     )
     own = [c for c in docs.columns if c.lower() not in ("removed_lines", "removed_words")]
-    keyed = docs.select(*own, *[k.alias(f"__{n}") for n, k in zip(_ROW, _keyed(docs, doc_id, text), strict=True)])
+    # The row is one column, so that no column of it can clash with those made here.
+    keyed = docs.select(F.struct(*own).alias("__row"), F.col(text).alias("__text"), *[k.alias(f"__{n}") for n, k in zip(_ROW, _keyed(docs, doc_id, text), strict=True)])
     both = keyed.join(gone.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
     # The split text is a column of its own, so that it is made once a row.
-    both = both.withColumn("__cut", F.when(F.col("__gone").isNotNull(), F.split(F.col(text), "\n")))
+    both = both.withColumn("__cut", F.when(F.col("__gone").isNotNull(), F.split("__text", "\n")))
     left = F.array_except(F.sequence(F.lit(0), F.size("__cut") - 1), F.col("__gone"))
-    rest = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__cut"), i)), "\n"))
+    rest = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__cut"), i)), "\n"))
     return both.select(
-        *[rest.alias(c) if c == text else F.col(c) for c in own],
+        *[rest.alias(c) if c.lower() == text.lower() else F.col("__row")[c].alias(c) for c in own],
         F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("removed_lines"),
         F.coalesce("__words", F.lit(0)).cast("long").alias("removed_words"),
     )

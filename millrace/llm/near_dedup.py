@@ -357,7 +357,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     of_class = by_class.join(best, "label").select("k1", "k2", F.col("best.r1").alias("b1"), F.col("best.r2").alias("b2"))
     keys = rows.join(of_class, ["k1", "k2"]).groupBy("r1", "r2").agg(F.first((F.col("r1") == F.col("b1")) & (F.col("r2") == F.col("b2"))).alias("stays"), F.count("*").alias("times"))
     special = checkpointed(keys.where("not stays or times > 1").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2"), F.col("stays").alias("__stays")))
-    keyed = docs.select("*", *[k.alias(f"__{n}") for n, k in zip(("r1", "r2"), _row_key(doc_id, text), strict=True)])
-    once = keyed.join(special, ["__r1", "__r2"], "left_anti").select(*docs.columns)
-    repeated = keyed.join(special.where("__stays"), ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]).select(*docs.columns)
+    # The row is one column, so that no column of it can clash with the keys.
+    keyed = docs.select(F.struct(*docs.columns).alias("__row"), *[k.alias(f"__{n}") for n, k in zip(("r1", "r2"), _row_key(doc_id, text), strict=True)])
+    once = keyed.join(special, ["__r1", "__r2"], "left_anti").select("__row.*")
+    repeated = keyed.join(special.where("__stays"), ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]).select("__row.*")
     return once.union(repeated)

@@ -65,11 +65,14 @@ def _count(condition: Column) -> Column:
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the counts of ``COUNTS`` (long) for each row."""
     own = [c for c in df.columns if c.lower() not in COUNTS]
-    body = F.coalesce(F.col(text), F.lit(""))
+    # The row is one column, so that no column of it can clash with those made here.
+    df = df.select(F.struct(*own).alias("__row"), F.col(text).alias("__text"))
+    body = F.coalesce(F.col("__text"), F.lit(""))
     bare = F.btrim(body, F.lit(_SPACE))
     # Arrays that several counts use are columns of their own, so that each is made once a row.
     cut = df.select(
-        *own,
+        "__row",
+        "__text",
         F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _GAP)).alias("__words"),
         F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "").alias("__lines"),
     )
@@ -97,12 +100,12 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
     )
     stop = [w for w in dict.fromkeys(STOP_WORDS)]
     counts = places.select(
-        *own,
+        "__row",
         F.struct(
             F.size("__words").cast("long").alias("n_words"),
             F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
-            F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-            F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
+            F.length(F.regexp_replace(F.coalesce("__text", F.lit("")), r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+            F.length(F.regexp_replace(F.coalesce("__text", F.lit("")), r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
             _count(F.filter("__words", lambda w: F.lower(w).isin(stop))).alias("n_stop_words"),
             F.size("__lines").cast("long").alias("n_lines"),
             (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
@@ -121,7 +124,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
             F.monotonically_increasing_id().alias("once"),
         ).alias("__counts"),
     )
-    return counts.select(*own, *[F.col("__counts")[c].alias(c) for c in COUNTS])
+    return counts.select("__row.*", *[F.col("__counts")[c].alias(c) for c in COUNTS])
 
 
 def base_failed() -> Column:

@@ -3,6 +3,7 @@ import random
 import pytest
 import xxhash
 from millrace.llm import line_dedup as L
+from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -97,6 +98,8 @@ def test_a_long_passage_goes_from_all_but_the_first(spark):
 def test_odd_rows(spark, odd_documents, no_documents):
     rows = L.dedup_lines(odd_documents, min_words=3)
     assert rows.columns == [*odd_documents.columns, "removed_lines", "removed_words"]
+    inner = odd_documents.select("*", *[F.lit(1).alias(c) for c in ("__gone", "__row", "__text", "__k1", "__cut", "__words")])
+    assert L.dedup_lines(inner).count() == odd_documents.count()
     assert sorted(map(str, (r.text for r in rows.collect()))) == sorted(map(str, (r.text for r in odd_documents.collect())))
     assert L.dedup_lines(no_documents).count() == 0
     twice = L.dedup_lines(rows.withColumnRenamed("lang", "removed_words2"))

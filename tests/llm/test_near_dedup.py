@@ -115,6 +115,8 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert N.drop_near_duplicates(no_documents).columns == no_documents.columns
     clash = odd_documents.withColumn("component_id", F.lit(5)).withColumn("kept", F.lit("x"))
     assert N.near_duplicates(clash).count() == odd_documents.count()
+    clash = odd_documents.select("*", *[F.lit(1).alias(c) for c in ("__r1", "__row", "__stays", "k1", "node")])
+    assert N.drop_near_duplicates(clash).columns == clash.columns
 
 
 def test_sketches_estimate_high_similarities():

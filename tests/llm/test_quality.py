@@ -59,3 +59,5 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert by[1][0] == by[1][1]
     assert Q.judge(no_documents).count() == 0
     assert Q.keep_good(odd_documents).columns == odd_documents.columns
+    inner = odd_documents.select("*", *[F.lit(1).alias(c) for c in ("__words", "__row", "__text", "__counts")])
+    assert Q.judge(inner).count() == Q.keep_good(inner).count() + Q.judge(inner).where("not kept").count() == odd_documents.count()
