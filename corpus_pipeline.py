@@ -28,7 +28,8 @@ def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     ship(spark)
     clean = line_dedup.dedup_lines(docs)
     emptied = (F.col("removed_lines") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return clean.where(~emptied).select(*docs.columns, F.length("text").cast(docs.schema["n_chars"].dataType).alias("__chars")).withColumn("n_chars", F.col("__chars")).drop("__chars")
+    chars = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return clean.where(~emptied).select(*[chars if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
