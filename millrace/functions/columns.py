@@ -59,7 +59,27 @@ def decimal_text(value: Column) -> Column:
 
 def length_prefixed(value: Column) -> Column:
     """UTF-8 bytes of a text after their number (8 bytes, least first)."""
-    data = F.encode(value, "utf-8")
-    size = F.lpad(F.hex(F.octet_length(value)), 16, "0")
-    least_first = F.concat(*[F.substring(size, i, 2) for i in range(15, 0, -2)])
-    return F.concat(F.unhex(least_first), data)
+    return F.concat(long_bytes(F.octet_length(value)), F.encode(value, "utf-8"))
+
+
+def long_bytes(value: Column) -> Column:
+    """A whole number as 8 bytes, least first."""
+    digits = F.lpad(F.hex(value), 16, "0")
+    return F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]))
+
+
+def plain_float(value: Column) -> Column:
+    """Digits of a double without exponent, and without a fraction of zero."""
+    text = value.cast("string")
+    body = F.regexp_replace(text, "^-", "")
+    mantissa = F.substring_index(body, "E", 1)
+    power = F.coalesce(F.nullif(F.regexp_extract(body, r"E(-?\d+)$", 1), F.lit("")).cast("int"), F.lit(0))
+    whole, part = F.substring_index(mantissa, ".", 1), F.regexp_replace(F.substring_index(mantissa, ".", -1), "0+$", "")
+    digits = F.concat(whole, part)
+    moved = F.when(F.length(part) <= power, F.concat(digits, F.repeat(F.lit("0"), power - F.length(part)))).otherwise(F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits))))
+    plain = (
+        F.when(power > 0, moved)
+        .when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), F.regexp_replace(digits, "0+$", "")))
+        .otherwise(F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part)))
+    )
+    return F.concat(F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit("")), plain)

@@ -28,7 +28,9 @@ from millrace.functions import values as V
 _KINDS = ("bool", "int", "uint", "float", "instant", "str", "object", "array")
 FLAGS = (*_KINDS, "inexact", "i_object", "i_nested", *(f"i_{k}" for k in _KINDS[:6]), "i_inexact")
 #: Limits of a push.
-MAX_DEPTH, MAX_COLUMNS, MAX_CHILDREN = 64, 4096, 1024
+MAX_DEPTH, MAX_COLUMNS, MAX_CHILDREN, MAX_VALUES = 64, 4096, 1024, 1 << 20
+#: Lines whose rows are emitted together.
+TOGETHER = 256
 _STEP = "\x1f"
 
 
@@ -77,6 +79,8 @@ def observe(lines: DataFrame, text: str = "line", ordinal: str = "ordinal") -> D
             first: dict = {}
             for text_, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for row in V.documents(text_ or ""):
+                    if len(text_) > MAX_VALUES and _size(row) > MAX_VALUES:
+                        raise Limit(f"documents may have {MAX_VALUES} values")
                     observe_row(V.as_row(row), (), seen)
                 for n, k in enumerate(seen):
                     if k not in first:
@@ -166,13 +170,25 @@ def resolve(observed: DataFrame, table: str, hints: dict[str, L.Logical] | None
                     out.children[k] = below
                 elif found is not None:
                     out.columns.append((k, namer.name_for(k), found))
-        if len(out.columns) > MAX_COLUMNS or len(out.children) > MAX_CHILDREN:
+        if sum(_leaves(s) for _, _, s in out.columns) > MAX_COLUMNS or len(out.children) > MAX_CHILDREN:
             raise Limit(f"table {name} has too many columns or children")
         return out
 
     return build("", N.normalize_ident(table))
 
 
+def _leaves(s: L.Shape) -> int:
+    """Columns of a shape, struct fields at every depth."""
+    return sum(_leaves(f.shape) for f in s.fields) if s.fields else 1
+
+
+def _size(v: Any) -> int:
+    """Values in a document."""
+    if isinstance(v, dict):
+        return sum(map(_size, v.values())) + 1
+    return sum(map(_size, v)) + 1 if isinstance(v, list) else 1
+
+
 def _fit_shape(v: Any, s: L.Shape) -> Any:
     if v is None:
         return None
@@ -194,12 +210,17 @@ def _misfits(v: Any, out: Any) -> int:
     return sum(map(_misfits, v, out)) if isinstance(out, list) else 0
 
 
-def build(lines: DataFrame, resolved: Table, load_id: str, key: list[str] | None = None, text: str = "line") -> dict[str, DataFrame]:
-    """Typed rows of every table with lineage; each also has ``_misfits``, the values that became null.
+def build(lines: DataFrame, resolved: Table, load_id: str, key: list[str] | None = None, text: str = "line", known: dict[str, T.StructType] | None = None, held: list[DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Typed rows of every table with lineage; each also has ``_misfits``, the values that became null, and
+    ``_unfit``, the names of columns whose value isn't of the type in ``known``.
 
-    All tables come from the same parsed lines; a consumer that writes several should persist them first.
+    A line is parsed once for all tables: some lines make one row with a list of each table's rows. That row set
+    is persisted and put into ``held`` if there is one; a consumer that writes several tables should ask for it.
     """
     order = list(resolved.walk())
+    if len(order) > MAX_CHILDREN:
+        raise Limit(f"{resolved.name} has too many tables")
+    tests = {t.name: _changed(t, (known or {}).get(t.name)) for t in order}
 
     def emit(row: dict, t: Table, parent: str | None, pos: int | None, root: str | None, out: dict[str, list]) -> None:
         if parent is None:
@@ -213,6 +234,7 @@ def build(lines: DataFrame, resolved: Table, load_id: str, key: list[str] | None
             made[name] = _fit_shape(row.get(source), s)
             bad += _misfits(row.get(source), made[name])
         made["_misfits"] = bad
+        made["_unfit"] = [name for source, name, s in tests[t.name] if not V.admits_shape(row.get(source), s)]
         out[t.name].append(made)
         for source, child in t.children.items():
             items = row.get(source)
@@ -220,24 +242,38 @@ def build(lines: DataFrame, resolved: Table, load_id: str, key: list[str] | None
                 if item is not None:
                     emit(V.as_row(item), child, own, n, root or own, out)
 
-    def table_rows(wanted: Table) -> DataFrame:
-        schema = wanted.spark_schema(wanted is not resolved).add("_misfits", T.LongType())
-        from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
+    schemas = [t.spark_schema(t is not resolved).add("_misfits", T.LongType()).add("_unfit", T.ArrayType(T.StringType())) for t in order]
+    kinds = [pa.struct(list(to_arrow_schema(s))) for s in schemas]
+    names = [f"t{n}" for n in range(len(order))]
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for first in range(0, len(texts), TOGETHER):
                 out: dict[str, list] = {t.name: [] for t in order}
-                for text_ in batch.column(0).to_pylist():
+                for text_ in texts[first : first + TOGETHER]:
                     for row in V.documents(text_ or ""):
                         emit(V.as_row(row), resolved, None, None, None, out)
-                if out[wanted.name]:
-                    yield pa.RecordBatch.from_pylist(out[wanted.name], arrow)
-
-        return lines.select(text).mapInArrow(run, schema)
-
-    return {t.name: table_rows(t) for t in order}
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(out[t.name])], pa.int32()), pa.array(out[t.name], k)) for t, k in zip(order, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(lists, names)
+
+    whole = lines.select(text).mapInArrow(run, T.StructType([T.StructField(n, T.ArrayType(s)) for n, s in zip(names, schemas, strict=True)]))
+    if held is not None:
+        held.append(whole.persist())
+    return {t.name: whole.select(F.inline(n)) for t, n in zip(order, names, strict=True)}
+
+
+def _changed(t: Table, known: T.StructType | None) -> list[tuple[str, str, L.Shape]]:
+    """Columns of a table that the known type doesn't hold, with that type."""
+    out = []
+    for source, name, s in t.columns:
+        if known is not None and name in known.names:
+            shape = L.shape_of_spark(known[name].dataType, known[name].metadata)
+            if L.join_shapes(shape, s) != shape:
+                out.append((source, name, shape))
+    return out
 
 
 def infer_types(lines: DataFrame, text: str = "line", ordinal: str = "ordinal") -> DataFrame:

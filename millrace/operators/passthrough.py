@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +36,12 @@ def inexact(c: Column, have: T.DataType, want: T.DataType) -> Column:
     integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     if have == want:
         return F.lit(False)
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        known = {f.name: f.dataType for f in have}
+        bad = [inexact(c[f.name], known[f.name], f.dataType) for f in want if f.name in known and known[f.name] != f.dataType]
+        return c.isNotNull() & F.coalesce(reduce(or_, bad, F.lit(False)), F.lit(False))
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return F.coalesce(F.exists(c, lambda x: inexact(x, have.elementType, want.elementType)), F.lit(False))
     if isinstance(have, (T.StructType, T.ArrayType, T.MapType)) and isinstance(want, T.StringType):
         raise InexactCast(f"{have.simpleString()} has no text")
     if isinstance(have, T.LongType) and isinstance(want, T.DoubleType):
@@ -57,31 +66,34 @@ def cast_losses(df: DataFrame, want: T.StructType) -> DataFrame:
         if f.name in df.columns and df.schema[f.name].dataType != f.dataType:
             c = F.col(f"`{f.name}`")
             sums.append(F.coalesce(F.sum(inexact(c, df.schema[f.name].dataType, f.dataType).cast("long")), F.lit(0)).alias(f"inexact_{f.name}"))
-            sums.append((F.count(c) - F.count(c.try_cast(f.dataType))).alias(f"nulls_{f.name}"))
+            if not isinstance(f.dataType, (T.StructType, T.ArrayType)):
+                sums.append((F.count(c) - F.count(c.try_cast(f.dataType))).alias(f"nulls_{f.name}"))
     return df.agg(*sums) if sums else df.sparkSession.range(1).select(F.lit(0).alias("none"))
 
 
-def _fill(c: Column, have: T.DataType, want: T.DataType) -> Column:
+def fill(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value in a wider type; missing struct fields are null."""
     if have == want:
         return c
     if isinstance(have, T.StructType) and isinstance(want, T.StructType):
         known = {f.name: f.dataType for f in have}
-        made = F.struct(*[(_fill(c[f.name], known[f.name], f.dataType) if f.name in known else F.lit(None).cast(f.dataType)).alias(f.name) for f in want])
+        made = F.struct(*[(fill(c[f.name], known[f.name], f.dataType) if f.name in known else F.lit(None).cast(f.dataType)).alias(f.name) for f in want])
         return F.when(c.isNotNull(), made)
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return F.transform(c, lambda x: fill(x, have.elementType, want.elementType))
     return c.cast(want)
 
 
 def conform(df: DataFrame, want: T.StructType, check: bool = True) -> DataFrame:
     """``df`` in the columns of ``want``: missing ones and missing struct fields null, types cast exactly.
 
-    The check is one aggregation over the columns that change type; nothing is read where none does.
+    The check is one aggregation over the columns that change type, at every depth; nothing is read where none does.
     """
-    if check and any(f.name in df.columns and df.schema[f.name].dataType != f.dataType and not isinstance(f.dataType, T.StructType) for f in want):
-        plain = T.StructType([f for f in want if not isinstance(f.dataType, T.StructType)])
-        losses = {k: n for k, n in cast_losses(df, plain).first().asDict().items() if n}
+    if check and any(f.name in df.columns and df.schema[f.name].dataType != f.dataType for f in want):
+        losses = {k: n for k, n in cast_losses(df, want).first().asDict().items() if n}
         if losses:
             raise InexactCast(f"values would change: {losses}")
-    return df.select(*[(_fill(F.col(f"`{f.name}`"), df.schema[f.name].dataType, f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in want])
+    return df.select(*[(fill(F.col(f"`{f.name}`"), df.schema[f.name].dataType, f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in want])
 
 
 def joined_schema(known: T.StructType, seen: T.StructType) -> T.StructType:

@@ -80,8 +80,11 @@ class Policy:
         return self.default
 
 
-def fits(c: Column, have: T.DataType, want: T.DataType) -> Column:
-    """Whether a value is one of the known type without widening; nulls are."""
+def fits(c: Column, have: T.DataType, want: T.DataType, rendered: bool = True) -> Column:
+    """Whether a value is one of the known type without widening; nulls are.
+
+    ``rendered``: texts may be renderings of what was widened to text, and fit if they are; else text is no number.
+    """
     integral = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
     if have == want:
         return F.lit(True)
@@ -91,8 +94,8 @@ def fits(c: Column, have: T.DataType, want: T.DataType) -> Column:
         return c.isNull() | (int_is_exact(c) if isinstance(have, T.LongType) else F.lit(True))
     if isinstance(want, T.StringType) and not isinstance(have, (T.StructType, T.ArrayType, T.BinaryType)):
         return F.lit(True)
-    if isinstance(have, T.StringType) and not isinstance(want, (T.StructType, T.ArrayType, T.BinaryType)):
-        return c.isNull() | c.try_cast(want).isNotNull()
+    if rendered and isinstance(have, T.StringType) and not isinstance(want, (T.StructType, T.ArrayType, T.BinaryType)):
+        return c.isNull() | (c.try_cast(want).isNotNull() & (F.trim(c) == c))
     if isinstance(want, T.DecimalType) and isinstance(have, (T.DecimalType, *integral)):
         return c.isNull() | F.coalesce(c.try_cast(want) == c, F.lit(False))
     return c.isNull()
@@ -109,13 +112,17 @@ class Governed:
     discarded: DataFrame
 
 
-def govern(df: DataFrame, table: str, known: T.StructType | None, policy: Policy, ancestors: tuple[str, ...] = (), bootstrapped: bool = True) -> Governed:
+def govern(df: DataFrame, table: str, known: T.StructType | None, policy: Policy, ancestors: tuple[str, ...] = (), bootstrapped: bool = True, unfit: str | None = None, rendered: bool = True) -> Governed:
     """Apply a policy to a batch.
 
+    ``unfit`` names a column with the names of the columns whose value, as it came, isn't of the known type; without
+    it the test goes by the types of the batch, and ``rendered`` says what texts are (see ``fits``).
+
     ``discarded`` is one row of counts (``rows``, ``values``); it is a lazy aggregate. A table that appears
     after the first batches is a change too.
     """
     spark = df.sparkSession
+    marked, df = df, df.drop(unfit) if unfit else df
     nothing = spark.range(1).select(F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("values"))
     if known is None:
         if bootstrapped:
@@ -139,7 +146,12 @@ def govern(df: DataFrame, table: str, known: T.StructType | None, policy: Policy
             schema = joined_schema(schema, T.StructType([df.schema[d.column]]))
             continue
         c = F.col(f"`{d.column}`")
-        bad = c.isNotNull() if d.kind == "add_column" else ~fits(c, df.schema[d.column].dataType, known[d.column].dataType)
+        if d.kind == "add_column":
+            bad = c.isNotNull()
+        elif unfit:
+            bad = F.array_contains(F.col(unfit), d.column)
+        else:
+            bad = ~fits(c, df.schema[d.column].dataType, known[d.column].dataType, rendered)
         if action is Action.DISCARD_ROW:
             offends = offends | bad
         else:
@@ -148,8 +160,8 @@ def govern(df: DataFrame, table: str, known: T.StructType | None, policy: Policy
             dropped_columns.add(d.column)
     bad_values = [F.coalesce(F.sum(F.when(bad & ~offends, 1)), F.lit(0)) for _, bad in nulled]
     total = sum(bad_values[1:], bad_values[0]) if bad_values else F.lit(0)
-    counts = df.agg(F.coalesce(F.sum(F.when(offends, 1)), F.lit(0)).cast("long").alias("rows"), total.cast("long").alias("values"))
-    kept = df.where(~offends)
+    counts = marked.agg(F.coalesce(F.sum(F.when(offends, 1)), F.lit(0)).cast("long").alias("rows"), total.cast("long").alias("values"))
+    kept = marked.where(~offends)
     by_name = dict(nulled)
     columns = []
     for f in schema:
@@ -158,8 +170,25 @@ def govern(df: DataFrame, table: str, known: T.StructType | None, policy: Policy
             continue
         c = F.col(f"`{f.name}`")
         c = F.when(~by_name[f.name], c) if f.name in by_name else c
-        columns.append((c.try_cast(f.dataType) if df.schema[f.name].dataType != f.dataType else c).alias(f.name))
-    return Governed(kept.select(*columns), schema, kept_deltas, df.where(offends), counts)
+        columns.append(_as_known(c, df.schema[f.name].dataType, f.dataType).alias(f.name))
+    return Governed(kept.select(*columns), schema, kept_deltas, marked.where(offends).select(*df.columns), counts)
+
+
+def _as_known(c: Column, have: T.DataType, want: T.DataType) -> Column:
+    """A value that fits, in its known type again."""
+    if have == want:
+        return c
+    if isinstance(want, (T.StructType, T.ArrayType)):
+        from millrace.operators.passthrough import fill
+
+        return F.from_json(c, want) if isinstance(have, T.StringType) else fill(c, have, want)
+    return c.try_cast(want)
+
+
+def under(rows: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows without and with a parent among the dropped ids (``__gone``)."""
+    met = F.col(N.PARENT_ID) == F.col("__gone")
+    return rows.join(gone, met, "left_anti"), rows.join(gone, met, "left_semi")
 
 
 def cascade(children: dict[str, DataFrame], dropped_roots: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import naming as N
-from millrace.functions.columns import length_prefixed
+from millrace.functions.columns import length_prefixed, long_bytes, plain_float
 from millrace.functions.values import CHILD, KEYED, KEYLESS
 
 
@@ -36,18 +36,26 @@ def content_key(row: DataFrame, columns: Sequence[str] | None = None) -> Column:
     return F.sha2(F.concat(F.lit(KEYLESS), length_prefixed(F.to_json(whole, {"ignoreNullFields": "false"}))), 256)
 
 
-def declared_key(columns: Sequence[str]) -> Column:
-    """Identity of a row by key columns: stable when other columns change."""
+def _key_text(name: str, t: T.DataType | None) -> Column:
+    c = F.col(f"`{name}`")
+    return plain_float(c) if isinstance(t, T.DoubleType) else c.cast("string")
+
+
+def declared_key(columns: Sequence[str], schema: T.StructType | None = None) -> Column:
+    """Identity of a row by key columns: stable when other columns change. With the schema, 1.0 and 1 are one."""
+    types = {f.name: f.dataType for f in schema or ()}
     parts: list[Column] = [F.lit(KEYED)]
     for name in columns:
-        value = F.col(f"`{name}`").cast("string")
+        # Bound by name when it is used, so it may be of any type; only doubles are rendered on their own.
+        value = _key_text(name, types.get(name))
         parts += [length_prefixed(F.lit(name)), F.when(value.isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), length_prefixed(value)))]
     return F.sha2(F.concat(*parts), 256)
 
 
 def _child_key(item: Column, t: T.DataType) -> Column:
-    body = F.to_json(F.struct(_sorted_fields(item, t).alias("value")), {"ignoreNullFields": "false"})
-    return F.sha2(F.concat(F.lit(CHILD), F.unhex(F.col(N.PARENT_ID)), F.encode(F.lpad(F.col(N.POS).cast("string"), 20, "0"), "utf-8"), length_prefixed(body)), 256)
+    row = _sorted_fields(item, t) if isinstance(t, T.StructType) else F.struct(_sorted_fields(item, t).alias("value"))
+    content = F.sha2(F.concat(F.lit(KEYLESS), length_prefixed(F.to_json(row, {"ignoreNullFields": "false"}))), 256)
+    return F.sha2(F.concat(F.lit(CHILD), F.unhex(F.col(N.PARENT_ID)), long_bytes(F.col(N.POS)), F.unhex(content)), 256)
 
 
 def _is_child(t: T.DataType, scalar_lists: bool) -> bool:
@@ -59,7 +67,7 @@ def shred(df: DataFrame, table: str, load_id: str, key: Sequence[str] | None = N
 
     Null list items take a position and make no row. Children carry their parent's and their root's id.
     """
-    whole = df.withColumn(N.ROW_ID, declared_key(key) if key else content_key(df)).withColumn(N.LOAD_ID, F.lit(load_id))
+    whole = df.withColumn(N.ROW_ID, declared_key(key, df.schema) if key else content_key(df)).withColumn(N.LOAD_ID, F.lit(load_id))
     tables: dict[str, DataFrame] = {}
 
     def split(now: DataFrame, name: str, system: list[str], fields: list[T.StructField], own: dict[str, Column]) -> None:

@@ -50,7 +50,7 @@ class Event:
     data: dict[str, Any]
 
 
-KINDS = ("run_started", "resumed", "stream_started", "checkpoint", "table_created", "table_migrated", "discarded", "batch_staged", "committed", "retrying", "stream_finished", "run_finished")
+KINDS = ("run_started", "resumed", "stream_started", "checkpoint", "table_created", "table_migrated", "discarded", "batch_staged", "committed", "retrying", "stream_finished", "cancelled", "run_finished")
 
 
 class Events:

@@ -42,6 +42,8 @@ class Batch:
 
     rows: DataFrame
     cursor: Any = None
+    #: Bytes, where the source knows them.
+    size: int | None = None
 
 
 class Source(ABC):

@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, BinaryIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.sources.base import Batch, Source, SourceError, StreamSpec
+from millrace.sources.ranges import lines_between
 
 #: A batch ends at so many rows or bytes; one line may have so many bytes; so much of a tail is hashed.
 BATCH_ROWS, BATCH_BYTES, LINE_BYTES, TAIL_BYTES = 1024, 8 << 20, 8 << 20, 4096
@@ -33,15 +34,28 @@ def tail_hash(path: str, end: int) -> str:
         return hashlib.sha256(f.read(end - max(0, end - TAIL_BYTES))).hexdigest()
 
 
+def _last_end(f: BinaryIO, at: int) -> int:
+    """Past the last line end after ``at``, or ``at``."""
+    end = f.seek(0, os.SEEK_END)
+    while end > at:
+        first = max(at, end - (1 << 16))
+        f.seek(first)
+        if (n := f.read(end - first).rfind(b"\n")) >= 0:
+            return first + n + 1
+        end = first
+    return at
+
+
 class JsonLines(Source):
     """A directory of ``*.jsonl`` on the driver's file system: a stream a file, resumed by byte offset.
 
     Only lines that have their end are read. A file that shrank, or whose bytes before the cursor changed,
-    is refused.
+    is refused. With ``batch_bytes`` a batch is so many bytes and is read by the executors, in spans; else the
+    driver reads batches of ``batch_rows``.
     """
 
-    def __init__(self, directory: str, specs: dict[str, StreamSpec] | None = None, batch_rows: int = BATCH_ROWS):
-        self.directory, self.specs, self.batch_rows = directory, specs or {}, batch_rows
+    def __init__(self, directory: str, specs: dict[str, StreamSpec] | None = None, batch_rows: int = BATCH_ROWS, batch_bytes: int | None = None):
+        self.directory, self.specs, self.batch_rows, self.batch_bytes = directory, specs or {}, batch_rows, batch_bytes
 
     def check(self, spark: SparkSession) -> None:
         if not os.path.isdir(self.directory):
@@ -54,12 +68,16 @@ class JsonLines(Source):
     def read(self, spark: SparkSession, stream: StreamSpec, since: Any) -> Iterator[Batch]:
         path = os.path.join(self.directory, f"{stream.name}.jsonl")
         at = 0
+        begun = at
         if since is not None:
-            at = since["bytes_read"]
+            at = begun = since["bytes_read"]
             if os.path.getsize(path) < at:
                 raise SourceError(f"{path} is shorter than what has been read of it")
             if tail_hash(path, at) != since["tail_hash"]:
                 raise SourceError(f"{path} was rewritten before byte {at}")
+        if self.batch_bytes:
+            yield from self._spans(spark, path, at)
+            return
         lines: list[tuple[str, int]] = []
         size = 0
         emitted = False
@@ -76,15 +94,30 @@ class JsonLines(Source):
                     size += len(raw)
                 at += len(raw)
                 if len(lines) >= self.batch_rows or size >= BATCH_BYTES:
-                    yield self._batch(spark, path, lines, at)
-                    lines, size, emitted = [], 0, True
+                    yield self._batch(spark, path, lines, begun, at)
+                    lines, size, emitted, begun = [], 0, True, at
         if lines or not emitted:
-            yield self._batch(spark, path, lines, at)
+            yield self._batch(spark, path, lines, begun, at)
+
+    def _spans(self, spark: SparkSession, path: str, at: int) -> Iterator[Batch]:
+        """Batches that end at the first line end from ``batch_bytes`` on; a last line without its end waits."""
+        emitted = False
+        with open(path, "rb") as f:
+            while True:
+                f.seek(at + self.batch_bytes - 1)
+                past = f.tell() if f.readline().endswith(b"\n") else _last_end(f, at)
+                if past > at or not emitted:
+                    rows = lines_between(spark, path, at, past)
+                    yield Batch(rows, {"v": 1, "bytes_read": past, "tail_hash": tail_hash(path, past)}, past - at)
+                    emitted = True
+                if past < at + self.batch_bytes:
+                    return
+                at = past
 
     @staticmethod
-    def _batch(spark: SparkSession, path: str, lines: list[tuple[str, int]], at: int) -> Batch:
+    def _batch(spark: SparkSession, path: str, lines: list[tuple[str, int]], begun: int, at: int) -> Batch:
         rows = spark.createDataFrame(lines, "line string, ordinal long")
-        return Batch(rows, {"v": 1, "bytes_read": at, "tail_hash": tail_hash(path, at)})
+        return Batch(rows, {"v": 1, "bytes_read": at, "tail_hash": tail_hash(path, at)}, at - begun)
 
 
 class TypedFiles(Source):

@@ -8,10 +8,13 @@ together, so nothing is lost or doubled wherever a run breaks off.
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +28,11 @@ from millrace.plans.report import Event, Events, Report
 from millrace.plans.validate import ConfigError, validate
 from millrace.sources.base import Batch, Source, SourceError, StreamSpec
 from millrace.sources.store import SnapshotStore, Unit
-from millrace.streaming.policy import CommitPolicy, RetryPolicy
+from millrace.streaming.policy import BatchPolicy, CommitPolicy, RetryPolicy, estimated_bytes
+
+
+#: The planner's size of what it knows nothing about is beyond this.
+UNKNOWN_BYTES = 1 << 50
 
 
 @dataclass
@@ -40,7 +47,11 @@ class Pipeline:
     modes: dict[str, str] = field(default_factory=dict)
     schema_policy: policy.Policy = field(default_factory=policy.Policy)
     commit_policy: CommitPolicy = field(default_factory=CommitPolicy)
+    batch_policy: BatchPolicy = field(default_factory=BatchPolicy)
     retry_policy: RetryPolicy = field(default_factory=RetryPolicy)
+    #: Streams that are read at the same time; commits come one after another.
+    readers: int = 4
+    cancelled: threading.Event = field(default_factory=threading.Event)
     workdir: str | None = None
     listeners: list[Callable[[Event], None]] = field(default_factory=list)
     sleep: Callable[[float], None] = time.sleep
@@ -50,7 +61,7 @@ class Pipeline:
         """A pipeline from a YAML or JSON document; unknown entries are refused, values of options never echoed."""
         import yaml
 
-        known = {"pipeline", "workdir", "write_mode", "commit_policy", "schema_policy", "source", "destination"}
+        known = {"pipeline", "workdir", "write_mode", "commit_policy", "batch_policy", "schema_policy", "resources", "source", "destination"}
         doc = yaml.safe_load(text)
         if not isinstance(doc, dict) or not {"pipeline", "source", "destination"} <= set(doc):
             raise ConfigError("a document needs pipeline, source and destination")
@@ -69,7 +80,11 @@ class Pipeline:
         write = doc.get("write_mode", "append")
         mode, keys = (write, {}) if isinstance(write, str) else (next(iter(write)), write[next(iter(write))].get("keys", {}))
         default = policy.Action(doc.get("schema_policy", "evolve"))
-        return cls(doc["pipeline"], make(doc["source"], sources), make(doc["destination"], destinations), mode, {k: tuple(v) for k, v in keys.items()}, schema_policy=policy.Policy(default), commit_policy=CommitPolicy(**doc.get("commit_policy", {})), workdir=doc.get("workdir"))
+        return cls(doc["pipeline"], make(doc["source"], sources), make(doc["destination"], destinations), mode, {k: tuple(v) for k, v in keys.items()}, schema_policy=policy.Policy(default), commit_policy=CommitPolicy(**doc.get("commit_policy", {})), batch_policy=BatchPolicy(**doc.get("batch_policy", {})), readers=int(doc.get("resources", {}).get("readers", 4)), workdir=doc.get("workdir"))
+
+    def cancel(self) -> None:
+        """End a run before its next batch or commit; what is committed stays, the rest comes again with the next run."""
+        self.cancelled.set()
 
     def check(self, spark: SparkSession) -> None:
         """Whether both ends can be reached; moves no data."""
@@ -93,6 +108,10 @@ class Pipeline:
         raise AssertionError("unreachable")
 
 
+class Cancelled(Exception):
+    """The run was asked to end."""
+
+
 class _Run:
     """One attempt."""
 
@@ -105,6 +124,8 @@ class _Run:
         #: Lines that are read for several tables, until their commit.
         self.parsed: list[DataFrame] = []
         self.seq = 0
+        #: Held by the stream that commits; what the run has seen changes in commits only.
+        self.committing = threading.Lock()
 
     def mode(self, stream: StreamSpec) -> str:
         return self.p.modes.get(stream.name, self.p.mode)
@@ -114,36 +135,77 @@ class _Run:
         self.events.emit("run_started", load_id=self.load_id)
         streams = self.p.source.streams(self.spark)
         modes = {s.name: (self.mode(s), self.p.merge_key.get(s.name, s.primary_key)) for s in streams}
-        tables = validate(streams, modes, self.p.destination.capabilities, self.p.workdir)
-        with self.p.destination.session():
+        tables = validate(streams, modes, self.p.destination.capabilities, self.p.workdir, self.p.readers)
+        with self.p.destination.session(self.p.name) as opened:
+            replayed = [name for name, verdict in getattr(opened, "recovered", []) if verdict == "recover"]
             state = self.p.destination.read_state(self.p.name)
             if state["last"]:
-                self.report.resumed = "cursor"
+                self.report.resumed = "replay" if replayed else "cursor"
                 self.events.emit("resumed", last=state["last"])
-            for s in streams:
-                self.stream(s, tables[s.name], modes[s.name][1], None if self.mode(s) == "replace" else state["cursors"].get(s.name))
+            self.all_streams([(s, tables[s.name], modes[s.name][1], None if self.mode(s) == "replace" else state["cursors"].get(s.name)) for s in streams])
         self.report.seconds = time.time() - began
         self.events.emit("run_finished", rows=self.report.total_rows)
         return self.report
 
-    def stream(self, s: StreamSpec, table: str, key: tuple[str, ...], since: Any) -> None:
+    def all_streams(self, each: list[tuple]) -> None:
+        """Streams side by side; the first failure ends the others at their next batch."""
+        if len(each) < 2 or self.p.readers < 2:
+            for args in each:
+                self.stream(*args)
+            return
+        failed: list[BaseException] = []
+
+        def one(args: tuple) -> None:
+            try:
+                self.stream(*args, stop=failed)
+            except BaseException as e:
+                failed.append(e)
+
+        with ThreadPoolExecutor(self.p.readers, "stream") as pool:
+            list(pool.map(one, each))
+        if failed:
+            raise failed[0]
+
+    def stream(self, s: StreamSpec, table: str, key: tuple[str, ...], since: Any, stop: list[BaseException] | None = None) -> None:
         """One stream to its end. Streams commit on their own, so each commit covers whole batches of one."""
         self.events.emit("stream_started", stream=s.name)
         held: list[Batch] = []
-        checkpoints, since_commit = 0, time.time()
+        checkpoints, size, since_commit = 0, 0, time.time()
         for batch in self.p.source.read(self.spark, s, since):
+            if stop:
+                return
+            self.go_on()
             held.append(batch)
+            if self.p.commit_policy.every_bytes is not None:
+                size += batch.size if batch.size is not None else self.bytes_of(batch.rows)
             checkpoints += batch.cursor is not None
             if batch.cursor is not None:
                 self.events.emit("checkpoint", stream=s.name)
-                if self.p.commit_policy.due(checkpoints, 0, time.time() - since_commit):
+                if self.p.commit_policy.due(checkpoints, size, time.time() - since_commit):
                     self.commit(s, table, key, held)
-                    held, checkpoints, since_commit = [], 0, time.time()
-        if held:
+                    held, checkpoints, size, since_commit = [], 0, 0, time.time()
+        if held and not stop:
             self.commit(s, table, key, held)
         self.events.emit("stream_finished", stream=s.name)
 
+    @staticmethod
+    def bytes_of(rows: DataFrame) -> int:
+        """Bytes of a batch: the planner's estimate, or where it has none those of the rows as text."""
+        if (n := estimated_bytes(rows)) < UNKNOWN_BYTES:
+            return n
+        return rows.agg(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))))).first()[0] or 0
+
+    def go_on(self) -> None:
+        if self.p.cancelled.is_set():
+            self.events.emit("cancelled")
+            raise Cancelled(self.p.name)
+
     def commit(self, s: StreamSpec, table: str, key: tuple[str, ...], held: list[Batch]) -> None:
+        with self.committing:
+            self.go_on()
+            self.publish(s, table, key, held)
+
+    def publish(self, s: StreamSpec, table: str, key: tuple[str, ...], held: list[Batch]) -> None:
         rows = held[0].rows
         for b in held[1:]:
             rows = rows.unionByName(b.rows, allowMissingColumns=True)
@@ -153,7 +215,8 @@ class _Run:
         mode = self.mode(s)
         if mode == "merge" and s.structured:
             merge.require_keys(tables[table], key)
-        unit = Unit(self.load_id, self.seq, tables, table, mode, tuple(key), {s.name: cursor} if cursor is not None else {})
+        unit = Unit(self.load_id, self.seq, tables, table, mode, tuple(key), {s.name: cursor} if cursor is not None else {}, batch=self.p.batch_policy)
+        self.events.emit("batch_staged", stream=s.name, batches=len(held), tables=len(tables))
         receipt = self.p.destination.commit(self.spark, self.p.name, unit)
         # Where all rows are written, they were counted as such: typed input isn't read again to count it.
         if s.structured and mode != "merge" and self.p.schema_policy == policy.Policy():
@@ -170,9 +233,10 @@ class _Run:
             self.report.rows_written[t] = self.report.rows_written.get(t, 0) + n
         self.events.emit("committed", seq=unit.seq, rows=receipt["rows"])
 
-    def govern(self, table: str, df: DataFrame, root: str) -> tuple[DataFrame, DataFrame | None]:
+    def govern(self, table: str, df: DataFrame, new_is_change: bool, unfit: str | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """``new_is_change``: a table that isn't known appears in mid-run, so the policy has a say in it."""
         ancestors = tuple(a for a in sorted(self.known, key=len, reverse=True) if table.startswith(f"{a}__"))
-        g = policy.govern(df, table, self.known.get(table), self.p.schema_policy, ancestors, bootstrapped=root in self.known and table != root)
+        g = policy.govern(df, table, self.known.get(table), self.p.schema_policy, ancestors, new_is_change, unfit, rendered=False)
         if table in self.known or g.deltas:
             self.known[table] = g.schema
         for d in g.deltas:
@@ -180,16 +244,21 @@ class _Run:
             self.report.migrations += d.kind != "create_table"
         if self.p.schema_policy != policy.Policy():
             n = g.discarded.first()
-            if n["rows"] or n["values"]:
-                self.report.discarded_rows[table] = self.report.discarded_rows.get(table, 0) + n["rows"]
-                self.report.discarded_values[table] = self.report.discarded_values.get(table, 0) + n["values"]
-                self.events.emit("discarded", table=table, rows=n["rows"], values=n["values"])
+            self.discarded(table, n["rows"], n["values"])
         return g.rows, g.dropped
 
+    def discarded(self, table: str, rows: int, values: int) -> None:
+        if rows:
+            self.report.discarded_rows[table] = self.report.discarded_rows.get(table, 0) + rows
+        if values:
+            self.report.discarded_values[table] = self.report.discarded_values.get(table, 0) + values
+        if rows or values:
+            self.events.emit("discarded", table=table, rows=rows, values=values)
+
     def structured(self, s: StreamSpec, table: str, held: list[Batch]) -> dict[str, DataFrame]:
         done = []
         for n, b in enumerate(held):
-            rows, _ = self.govern(table, passthrough.project(b.rows, self.load_id), table)
+            rows, _ = self.govern(table, passthrough.project(b.rows, self.load_id), False)
             if self.mode(s) == "merge" and merge.ARRIVAL not in rows.columns:
                 rows = rows.withColumn(merge.ARRIVAL, F.lit(n).cast("long"))
             done.append(rows)
@@ -199,19 +268,30 @@ class _Run:
         lines = lines.persist()
         self.parsed.append(lines)
         seen = infer.resolve(infer.observe(lines), table, s.type_hints, self.p.destination.capabilities.scalar_lists)
-        built = infer.build(lines, seen, self.load_id, list(key) or None)
+        # The policy looks at what was known before any table of this batch.
+        first_batch = table not in self.known
+        built = infer.build(lines, seen, self.load_id, list(key) or None, known=self.known, held=self.parsed)
+        above = {child.name: t.name for t in seen.walk() for child in t.children.values()}
         out: dict[str, DataFrame] = {}
-        gone = None
-        for name, df in built.items():
+        gone: dict[str, DataFrame] = {}
+        ids = lambda df: df.select(F.col(N.ROW_ID).alias("__gone"))
+        for name, df in built.items():  # parents come first
+            went = []
+            if above.get(name) in gone:
+                df, lost = policy.under(df, gone[above[name]])
+                self.discarded(name, lost.count(), 0)
+                went.append(ids(lost))
+            # What fits no type of its column became null as it was read.
             n = df.agg(F.sum("_misfits")).first()[0] or 0
             if n:
                 self.report.discarded_values[name] = self.report.discarded_values.get(name, 0) + n
-            rows, dropped = self.govern(name, df.drop("_misfits"), table)
-            if name == table:
-                gone = dropped
-            elif gone is not None:
-                rows = policy.cascade({name: rows}, gone)[0][name]
-            out[name] = rows
+            rows, dropped = self.govern(name, df.drop("_misfits"), not first_batch and name != table, "_unfit")
+            if dropped is not None:
+                went.append(ids(dropped))
+            if went:
+                gone[name] = reduce(DataFrame.union, went)
+            if name in self.known:
+                out[name] = rows.drop("_unfit")
         return out
 
 

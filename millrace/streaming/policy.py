@@ -40,6 +40,15 @@ class BatchPolicy:
     def options(self) -> dict[str, str]:
         return {"maxRecordsPerFile": str(self.every_rows)} if self.every_rows else {}
 
+    def coalesced(self, df: DataFrame) -> DataFrame:
+        """``df`` in so few partitions that a file gets ``every_bytes``, by the planner's estimate; nothing is shuffled."""
+        return df.coalesce(max(1, estimated_bytes(df) // self.every_bytes)) if self.every_bytes else df
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the size of ``df``; reads nothing."""
+    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 60)
+
 
 @dataclass(frozen=True)
 class RetryPolicy:
