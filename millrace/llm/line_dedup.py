@@ -5,17 +5,15 @@ Lines are hashed (trimmed, 128 bits). From each line on, the shortest run of lin
 last). Equal runs of ``min_words`` words begin with equal windows, so they are certain to share a
 fingerprint; a line that long is its own window.
 
-Fingerprints found more than once name the documents that take part. What is deleted there is every line of a
-run of at least ``min_words`` words that stands, line for line, at one earlier place, in the order of document
-id and line. First occurrences always stay.
-
-A match with one place is made of windows: the shortest runs of ``min_words`` words from a line on, and those
-up to a line, cover every longer run and lie in it. So a line goes if such a window around it was seen earlier
-as a whole, which is the match extended both ways as far as it reaches.
+Fingerprints found at several positions are shared. Windows around them are joined with the first occurrence of
+the same lines, which gives pairs of positions, here and at one earlier place (by document id and line). A match is
+extended both ways by the windows on to its end and back to its start: the shortest runs of ``min_words`` words
+from a line on, and those up to a line, cover every longer run and lie in it. What is deleted is every line of a run
+of at least ``min_words`` words that stands, line for line, at one earlier place. First occurrences always stay.
 
 No list of occurrences is ever made: each window is held against the first occurrence of its hash (128 bits of
 its lines), which a partial aggregation finds, so a passage that a third of all documents share costs one row a
-task there, and the join back is one to many with the many side split by adaptive execution.
+task there, and the joins are one to many with the many side split by adaptive execution.
 
 Defined cases: null texts stay null and have no lines; lines of white space are kept and belong to no run;
 ties of equal ids are ordered by a hash of the row; rows equal in id and text count as one document and are
@@ -83,11 +81,12 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """Lines to delete: ``k1, k2`` (row key) and ``line`` (index in the split text), with their words."""
     lines = checkpointed(_lines(docs, doc_id, text))
     marks = fingerprints(lines, min_words)
-    shared = marks.groupBy(*_LINE).agg(F.count("*").alias("n")).where("n > 1").select(*_LINE)
+    shared = checkpointed(marks.groupBy(*_LINE).agg(F.count("*").alias("n")).where("n > 1").select(*_LINE))
     taking_part = marks.join(shared, _LINE).select(*_ROW).distinct()
     lines = checkpointed(lines.join(taking_part, _ROW, "left_semi"))
 
-    windows = checkpointed(_windows(lines, min_words))
+    # Only what stands around a shared fingerprint can repeat; each window there meets its first occurrence.
+    windows = checkpointed(_windows(lines, min_words).join(shared, _LINE, "left_semi").drop(*_LINE))
     first = windows.groupBy("kind", "wh", "wg").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = windows.join(first, ["kind", "wh", "wg"]).where(F.col("first") < F.col("place"))
     edges = again.groupBy(*_ROW, F.col("place.pos").alias("pos")).agg(F.max(F.when(F.col("kind") == 0, F.col("edge"))).alias("to"), F.min(F.when(F.col("kind") == 1, F.col("edge"))).alias("since"))
@@ -104,7 +103,11 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """The shortest runs of ``min_words`` words from each line on (kind 0) and up to it (1): hash, place, other edge."""
+    """The shortest runs of ``min_words`` words from each line on (kind 0) and up to it (1).
+
+    Of each the place, a hash of all its lines, its other edge, and its fingerprint's line. A run up to a line holds
+    the one from its first line on and goes by that one's fingerprint.
+    """
     counted = lines.select(
         *_ROW,
         *_LINE,
@@ -116,20 +119,27 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
     ).withColumn("before", F.col("past") - F.col("words"))
     on = Window.partitionBy(*_ROW).orderBy("before").rangeBetween(0, min_words - 1)
     upto = Window.partitionBy(*_ROW).orderBy("past").rangeBetween(1 - min_words, 0)
-    listed = counted.select(
-        *_ROW,
-        "pos",
-        F.struct("doc", *_ROW, "pos").alias("place"),
+    ahead = counted.select(
+        "*",
         (F.col("total") - F.col("before") >= min_words).alias("on"),
         *[F.xxhash64(F.collect_list(n).over(on)).alias(f"{n}0") for n in _LINE],
         (F.col("pos") + F.count("*").over(on) - 1).alias("to"),
+        F.min(F.struct(*_LINE)).over(on).alias("f0"),
+    )
+    listed = ahead.select(
+        "*",
+        F.struct("doc", *_ROW, "pos").alias("place"),
         (F.col("past") >= min_words).alias("upto"),
         *[F.xxhash64(F.collect_list(n).over(upto)).alias(f"{n}1") for n in _LINE],
         (F.col("pos") - F.count("*").over(upto) + 1).alias("since"),
+        F.first("f0").over(upto).alias("f1"),
     )
-    side = lambda kind, whole, edge: F.struct(F.lit(kind).alias("kind"), F.col(f"h{kind}").alias("wh"), F.col(f"g{kind}").alias("wg"), F.col(edge).cast("int").alias("edge"), F.col(whole).alias("whole"))
+
+    def side(kind: int, whole: str, edge: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.col(f"h{kind}").alias("wh"), F.col(f"g{kind}").alias("wg"), F.col(edge).cast("int").alias("edge"), F.col(whole).alias("whole"), F.col(f"f{kind}").alias("f"))
+
     both = F.array(side(0, "on", "to"), side(1, "upto", "since"))
-    return listed.select(*_ROW, "place", F.explode(both).alias("w")).where("w.whole").select(*_ROW, "place", "w.kind", "w.wh", "w.wg", "w.edge")
+    return listed.select(*_ROW, "place", F.explode(both).alias("w")).where("w.whole").select(*_ROW, "place", "w.kind", "w.wh", "w.wg", "w.edge", "w.f.h", "w.f.g")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
