@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.work import checkpointed
+from millrace.llm.work import checkpointed, release
 
 _SPACE = " \t\n\x0b\f\r"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -144,11 +144,13 @@ def _windows(lines: DataFrame, min_words: int) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated runs gone from ``text``, and ``removed_lines``, ``removed_words`` (long)."""
-    gone = (
+    # A row for each document that loses lines; what led to it goes before the texts are moved.
+    gone = checkpointed(
         repeated_lines(docs, doc_id, text, min_words)
         .groupBy(*_ROW)
         .agg(F.collect_list("line").alias("__gone"), F.sum("words").alias("__words"))
     )
+    release(docs.sparkSession, 3, 0.3)
     own = [c for c in docs.columns if c.lower() not in ("removed_lines", "removed_words")]
     # The row is one column, so that no column of it can clash with those made here.
     keyed = docs.select(F.struct(*own).alias("__row"), F.col(text).alias("__text"), *[k.alias(f"__{n}") for n, k in zip(_ROW, _keyed(docs, doc_id, text), strict=True)])
