@@ -117,21 +117,25 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _parity_words(bits: list[np.ndarray], width: int) -> np.ndarray:
+    """Parity bitmaps of ``width`` bits as int64 words, a row for each array of bit numbers; some rows at a time."""
+    out = np.zeros((len(bits), width // 64), np.int64)
+    for first in range(0, len(bits), 256):
+        some = bits[first : first + 256]
+        own = np.repeat(np.arange(len(some)) * width, [len(x) for x in some])
+        parity = np.bincount(np.concatenate([np.zeros(0, np.int64), *some]) + own, minlength=len(some) * width) & 1
+        out[first : first + 256] = np.packbits(parity.astype(np.uint8).reshape(len(some), width), axis=1, bitorder="little").view(np.int64)
+    return out
+
+
 def odd_sketches(signatures: np.ndarray) -> np.ndarray:
     """Parity bitmaps of the samples, as int64 words."""
-    n = len(signatures)
-    bit = (mix64(signatures.astype(np.uint64) + _PLACE) % np.uint64(SKETCH)).astype(np.int64)
-    parity = np.bincount((bit + np.arange(n)[:, None] * SKETCH).ravel(), minlength=n * SKETCH) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(n, SKETCH), axis=1, bitorder="little").view(np.int64)
+    return _parity_words([(mix64(s.astype(np.uint64) + _PLACE) % np.uint64(SKETCH)).astype(np.int64) for s in signatures], SKETCH)
 
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
     """Parity bitmaps of the whole sets, as int64 words."""
-    n = len(sets)
-    own = np.repeat(np.arange(n) * PARITY, [len(s) for s in sets])
-    bit = (np.concatenate([np.zeros(0, np.uint64), *sets]) >> np.uint64(20)).astype(np.int64) % PARITY
-    parity = np.bincount(bit + own, minlength=n * PARITY) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(n, PARITY), axis=1, bitorder="little").view(np.int64)
+    return _parity_words([(s >> np.uint64(20)).astype(np.int64) % PARITY for s in sets], PARITY)
 
 
 def most_bits(similarity: float) -> int:
@@ -144,6 +148,14 @@ def _thin(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (mix64(keys.view(np.uint64) ^ mix64(ids.view(np.uint64))) >> np.uint64(64 - THIN_BITS)).astype(np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of bounded bytes and rows."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            for first in range(0, part.num_rows, 2000):
+                yield part.slice(first, 2000)
+
+
 def _ids(column: pa.Array) -> np.ndarray:
     return np.asarray(column.cast(pa.int64()).fill_null(0))
 
@@ -152,27 +164,26 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str, k: int, keyed: boo
     """``doc_id, n, k1, k2, thin, bands, odd, parity`` of each row, ``keyed`` with its ``r1, r2``; no text is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                sets = shingle_sets(part.column(1), k)
-                signed = np.array([signature(s) for s in sets], np.uint32).reshape(len(sets), SAMPLES)
-                keys = set_keys(sets)
-                bands, odd = band_keys(signed), odd_sketches(signed)
-                step = lambda n: pa.array(np.arange(0, n * len(sets) + 1, n, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).cast(pa.int64()),
-                        pa.array(np.array([len(s) for s in sets], np.int64)),
-                        pa.array(keys[:, 0]),
-                        pa.array(keys[:, 1]),
-                        pa.array(_thin(keys[:, 0].copy(), _ids(part.column(0)))),
-                        pa.ListArray.from_arrays(step(BANDS), pa.array(bands.ravel())),
-                        pa.ListArray.from_arrays(step(_SKETCH_LONGS), pa.array(odd.ravel())),
-                        pa.ListArray.from_arrays(step(_PARITY_LONGS), pa.array(parities(sets).ravel())),
-                        *part.columns[2:],
-                    ],
-                    ["doc_id", "n", "k1", "k2", "thin", "bands", "odd", "parity", *part.schema.names[2:]],
-                )
+        for part in _parts(batches):
+            sets = shingle_sets(part.column(1), k)
+            signed = np.array([signature(s) for s in sets], np.uint32).reshape(len(sets), SAMPLES)
+            keys = set_keys(sets)
+            bands, odd = band_keys(signed), odd_sketches(signed)
+            step = lambda n: pa.array(np.arange(0, n * len(sets) + 1, n, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).cast(pa.int64()),
+                    pa.array(np.array([len(s) for s in sets], np.int64)),
+                    pa.array(keys[:, 0]),
+                    pa.array(keys[:, 1]),
+                    pa.array(_thin(keys[:, 0].copy(), _ids(part.column(0)))),
+                    pa.ListArray.from_arrays(step(BANDS), pa.array(bands.ravel())),
+                    pa.ListArray.from_arrays(step(_SKETCH_LONGS), pa.array(odd.ravel())),
+                    pa.ListArray.from_arrays(step(_PARITY_LONGS), pa.array(parities(sets).ravel())),
+                    *part.columns[2:],
+                ],
+                ["doc_id", "n", "k1", "k2", "thin", "bands", "odd", "parity", *part.schema.names[2:]],
+            )
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(_row_key(doc_id, text) if keyed else []))
     return chosen.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, thin long, bands array<long>, odd array<long>, parity array<long>" + ", r1 long, r2 long" * keyed)
