@@ -273,10 +273,13 @@ class PieceCodec:
         fresh = fresh + [p for p in apart if p not in self.parts]
         packed = self.merge_many(fresh)
         if self._plain is not None:
-            held = [k for k in range(len(fresh)) if zlib.crc32(fresh[k].encode()) % self.check_every == 0]
-            for k, theirs in zip(held, self._plain.encode([fresh[k] for k in held], num_threads=1), strict=True):
-                if array("I", packed[k]).tolist() != theirs:
-                    raise Mismatch(f"{fresh[k]!r}: {array('I', packed[k]).tolist()} here, {theirs} in the library")
+            every = self.check_every
+            held = range(len(fresh)) if every == 1 else [k for k in range(len(fresh)) if zlib.crc32(fresh[k].encode()) % every == 0]
+            for first in range(0, len(held), _ROWS):
+                some = held[first : first + _ROWS]
+                for k, theirs in zip(some, self._plain.encode([fresh[k] for k in some], num_threads=1), strict=True):
+                    if array("I", theirs).tobytes() != packed[k]:
+                        raise Mismatch(f"{fresh[k]!r}: {array('I', packed[k]).tolist()} here, {theirs} in the library")
         if not joined:
             return packed
         self.parts.update(zip(fresh[whole:], packed[whole:], strict=True))
