@@ -22,9 +22,23 @@ def release(spark: SparkSession, rounds: int = 2, pause: float = 0.1) -> None:
         time.sleep(pause)
 
 
+#: What keeps the memory of a task flat, where the session has no own settings. The planner knows no sizes of
+#: checkpoints, so each of their partitions would make a runtime filter of the largest size (8 MB), and one
+#: task would gather the filters of all partitions.
+SETTINGS = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "false"}
+
+
+def settled(spark: SparkSession) -> SparkSession:
+    """``spark`` with ``SETTINGS`` where it has none of its own."""
+    for key, value in SETTINGS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read from there from now on."""
-    shared_folder(df.sparkSession)
+    shared_folder(settled(df.sparkSession))
     out = df.checkpoint(eager=True)
     release(df.sparkSession)
     return out

@@ -155,3 +155,19 @@ def test_one_row_of_each_component_stays(spark):
     got = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()
     want = [(1, near(0)), (None, alone), (2, other), (3, blank), (None, rows[-4][1]), (4, ""), (4, ""), (None, None)]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_settings_leave_own_ones(spark):
+    from millrace.llm.work import SETTINGS, settled
+
+    (key,) = SETTINGS
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        assert settled(spark).conf.get(key) == "false"
+        spark.conf.set(key, "true")
+        assert settled(spark).conf.get(key) == "true"
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
