@@ -168,9 +168,11 @@ def raw_jsonl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested lines of JSON into their tables: observed, resolved, built."""
     docs = nested_orders(spark, sf_dir)
     lines = docs.select(F.to_json(F.struct(*docs.columns)).alias("line"), F.monotonically_increasing_id().alias("ordinal"))
-    tables = infer.build(lines, infer.resolve(infer.observe(lines), "orders"), "load-1", ["o_orderkey"])
-    counts = [df.agg(F.lit(t).alias("table_name"), F.count("*").alias("n_rows")) for t, df in tables.items()]
-    return counts[0].union(counts[1])
+    whole, columns = infer.together(lines, infer.resolve(infer.observe(lines), "orders"), "load-1", ["o_orderkey"])
+    # Both tables are built and counted in one pass; without any items there is no table of them.
+    sizes = {t: F.coalesce(F.sum(F.size(columns[t])), F.lit(0)) if t in columns else F.lit(0) for t in ("orders", "orders__items")}
+    counts = whole.agg(F.array(*[F.struct(F.lit(t).alias("table_name"), n.cast("long").alias("n_rows")) for t, n in sizes.items()]).alias("counts"))
+    return counts.select(F.inline("counts"))
 
 
 @query("jsonl_by_ranges", "SELECT count(*)::BIGINT AS n_lines, sum(p_partkey)::BIGINT AS key_sum FROM part")
