@@ -111,14 +111,17 @@ def identity_raw_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select((F.col("o_orderkey") * F.lit(0.5)).alias("half"), F.col("o_totalprice").alias("total"), items.alias("items"))
     typed = shred.shred(docs, "orders", "load-1", ["half"])
     lines = docs.select(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).alias("line"), F.monotonically_increasing_id().alias("ordinal"))
-    raw = infer.build(lines, infer.resolve(infer.observe(lines), "orders"), "load-1", ["half"])
-    both = []
-    for t in ("orders", "orders__items"):
-        one = typed[t].groupBy(N.ROW_ID).agg(F.count("*").alias("n"))
-        two = raw[t].groupBy(N.ROW_ID).agg(F.count("*").alias("m"))
-        met = one.join(two, N.ROW_ID, "full")
-        both.append(met.agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("n") == F.col("m"), F.col("n")).otherwise(0)).alias("n_equal")).select(F.lit(t).alias("table_name"), "n_rows", "n_equal"))
-    return both[0].union(both[1])
+    raw, columns = infer.together(lines, infer.resolve(infer.observe(lines), "orders"), "load-1", ["half"])
+    names = ("orders", "orders__items")
+    # Ids as bytes; those of both raw tables come from one pass.
+    one = [typed[t].select(F.lit(k).alias("t"), F.unhex(N.ROW_ID).alias("id"), F.lit(1).alias("n"), F.lit(0).alias("m")) for k, t in enumerate(names)]
+    ids = lambda k: F.transform(columns[names[k]], lambda x: F.struct(F.lit(k).alias("t"), F.unhex(x[N.ROW_ID]).alias("id")))
+    each = [ids(k) for k, t in enumerate(names) if t in columns]
+    two = raw.select(F.inline(F.concat(*each))).select("t", "id", F.lit(0).alias("n"), F.lit(1).alias("m")) if each else one[0].limit(0)
+    met = one[0].unionByName(one[1]).unionByName(two).groupBy("t", "id").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    count = lambda k, c: F.coalesce(F.sum(F.when(c & (F.col("t") == k), F.col("n"))), F.lit(0))
+    rows = [F.struct(F.lit(t).alias("table_name"), count(k, F.lit(True)).alias("n_rows"), count(k, F.col("n") == F.col("m")).alias("n_equal")) for k, t in enumerate(names)]
+    return met.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
 
 class _Crash(Exception):

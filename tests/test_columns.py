@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import values as V
 from millrace.operators import infer
+from millrace.plans import catalog
+
+catalog.load_all()
 
 SCALARS = [None, True, False, 0, -1, 7, 2**53, 2**53 + 1, 2**63, 2**64, -(2**63) - 1, 0.0, -0.0, 1.0, 0.05, 1e-3, 9.99e-4, 9999999.5, 1e7, 1e16, 1e300, "", "a", 'q"\\\n\x01%s', "é€😀", "2024-01-01T00:00:00Z", "2024-01-01T00:00:00.1234567+01:00", "2024-01-01T00:00:00.000"]
 
@@ -80,3 +83,11 @@ def test_one_pass_builds_all_tables(spark):
     parent = V.keyed_id(docs[3], ["id"])
     kid = V.child_id(parent, 2, docs[3]["kids"][2])
     assert kid in {i for r in got for i in r["r__kids"]} and V.child_id(kid, 0, {"w": "xx"}) in {i for r in got for i in r["r__kids__deep"]}
+
+
+def test_orders_without_items(spark, sf, tmp_path):
+    for name, keep in (("orders", "o_orderkey % 100 = 0"), ("lineitem", "false")):
+        spark.read.parquet(f"{sf}/{name}.parquet").where(keep).write.parquet(f"{tmp_path}/{name}.parquet")
+    n = spark.read.parquet(f"{tmp_path}/orders.parquet").count()
+    found = {q: sorted(map(tuple, catalog.QUERIES[q](spark, str(tmp_path)).collect())) for q in ("raw_jsonl_tables", "identity_raw_typed")}
+    assert found == {"raw_jsonl_tables": [("orders", n), ("orders__items", 0)], "identity_raw_typed": [("orders", n, n), ("orders__items", 0, 0)]}
